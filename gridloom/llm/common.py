@@ -99,6 +99,7 @@ def alnum_words() -> np.ndarray:
 _BASE = np.uint64(0x9E3779B97F4A7C13)  # odd, 3 modulo 8
 _rng = np.random.default_rng(20240607)
 _CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_CASED = _CODE.copy()
 _CODE = _CODE[LOWER]  # A-Z count as a-z
 _pow: np.ndarray = np.ones(1, dtype=np.uint64)
 _inv: np.ndarray = np.ones(1, dtype=np.uint64)
@@ -171,12 +172,12 @@ class Words:
         self.at = np.searchsorted(start, offs, "left")
         self.counts = np.diff(self.at)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, cased: bool = False) -> np.ndarray:
         n = len(self.buf)
         power, inverse = _powers(n + 1)
         with np.errstate(over="ignore"):
             total = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum(_CODE[self.buf] * power[:n], out=total[1:])
+            np.cumsum((_CASED if cased else _CODE)[self.buf] * power[:n], out=total[1:])
             return mix((total[self.end] - total[self.start]) * inverse[self.start])
 
     def normal(self, first: int, count: int) -> bytes:
@@ -214,6 +215,120 @@ def shingles(words: Words, k: int) -> Iterator[np.ndarray]:
             yield full[:0]
 
 
+class WordMemo:
+    """Token ids of words by their 64-bit hash: an open-addressing table over one id array.
+
+    Everything works on arrays of hashes.  The table starts anew when it is full, so its memory is
+    bounded by ``bits``; equal hashes of different words are as unlikely as 2**-64 for each pair.
+    """
+
+    def __init__(self, bits: int = 20, dtype=np.int32):
+        self.bits, self.mask, self.dtype = bits, np.int64((1 << bits) - 1), dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.start, self.size = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.int32)
+        self.ids, self.used, self.held = np.zeros(1 << 16, self.dtype), 0, 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each hash, -1 where there is none."""
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        found = np.where(self.keys[slot] == hashes, slot, -1)
+        open_ = np.flatnonzero((found < 0) & (self.keys[slot] != 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & self.mask
+            there = self.keys[slot[open_]]
+            hit = there == hashes[open_]
+            found[open_[hit]] = slot[open_[hit]]
+            open_ = open_[~hit & (there != 0)]
+        return found
+
+    def add(self, hashes: np.ndarray, ids: list[np.ndarray]) -> None:
+        """Put in distinct hashes that are not there yet; the caller leaves room (see ``room``)."""
+        size = np.array([len(x) for x in ids], np.int32)
+        flat = np.concatenate(ids).astype(self.dtype, copy=False) if ids else np.zeros(0, self.dtype)
+        start = self.used + np.cumsum(size) - size
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate((self.ids[: self.used], np.zeros(len(flat) + len(self.ids), self.dtype)))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.held += len(hashes)
+        slot, left = (hashes >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(hashes))
+        while len(left):
+            free = left[self.keys[slot[left]] == 0]
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.keys[slot[put]], self.start[slot[put]], self.size[slot[put]] = hashes[put], start[put], size[put]
+            left = left[self.keys[slot[left]] != hashes[left]]
+            slot[left] = (slot[left] + 1) & self.mask
+
+    def room(self, n: int) -> bool:
+        return self.held + n <= (1 << self.bits) * 0.6
+
+    def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words in a row, and where each word's begin (one more for the end)."""
+        size = self.size[slots]
+        ends = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+        at = np.repeat(self.start[slots] - ends[:-1], size) + np.arange(ends[-1])
+        return self.ids[at], ends
+
+
+def spaced_words() -> np.ndarray:
+    """True for the bytes of words between single spaces."""
+    own = np.ones(256, dtype=bool)
+    own[0x20] = False
+    return own
+
+
+SPACED = spaced_words()
+
+
+def rows_with(buf: np.ndarray, offs: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which rows hold any of the byte positions ``at``."""
+    out = np.zeros(len(offs) - 1, dtype=bool)
+    out[np.searchsorted(offs, at, "right") - 1] = True
+    return out
+
+
+def uneven_spaces(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Which rows begin or end with a space or hold two in a row."""
+    space = buf == 0x20
+    out = rows_with(buf, offs, np.flatnonzero(space[1:] & space[:-1]) + 1)  # a false alarm at a border does no harm
+    full = np.flatnonzero(np.diff(offs))
+    out[full] |= space[offs[full]] | space[offs[full + 1] - 1]
+    return out
+
+
+def tokens_of(buf: np.ndarray, offs: np.ndarray, memo: WordMemo, solve, first_differs: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words of a block and where each row's begin.
+
+    ``solve`` gets word strings and flags (a row's first word) and gives an id array for each.
+    """
+    words = Words(buf, offs, SPACED)
+    hashed = words.hashes(cased=True)
+    hashed[hashed == 0] = 1
+    first = np.zeros(len(hashed), bool)
+    if first_differs:
+        first[words.at[:-1][words.counts > 0]] = True
+        hashed[first] = mix(hashed[first] + np.uint64(1)) | np.uint64(1)
+    slots = memo.find(hashed)
+    lost = np.flatnonzero(slots < 0)
+    if len(lost):
+        new, at = np.unique(hashed[lost], return_index=True)
+        if not memo.room(len(new)):
+            memo.clear()
+            new, lost = np.unique(hashed, return_index=True)
+        else:
+            lost = lost[at]
+        raw = buf.tobytes()
+        spell = [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[lost].tolist(), words.end[lost].tolist(), strict=True)]
+        memo.add(new, solve(spell, first[lost]))
+        slots = memo.find(hashed)
+    ids, ends = memo.gather(slots)
+    return ids, ends[words.at]
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

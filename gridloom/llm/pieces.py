@@ -7,7 +7,7 @@ transducer with an input and takes the tropical-semiring shortest path (a forwar
 input's states; ties go to the longer last piece).  No piece holds a word mark after another
 character, which compilation verifies, so every path passes the state before each run of marks:
 the composition splits there, and the shortest paths of equal words are shared through a bounded
-memo.  Decoding is the inverse projection: pieces to text, byte pieces to UTF-8, marks to spaces.
+table.  Decoding is the inverse projection: pieces to text, byte pieces to UTF-8, marks to spaces.
 
 Null and empty texts have no pieces.  The mark U+2581 in a text counts as a space, as the model
 defines it; apart from that, decoding gives back the normalised text exactly.
@@ -24,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from gridloom.llm import common as C
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)  # piece types of the file format
-MEMO = 200_000  # words kept in each of two generations
+MEMO_BITS = 20  # of the table of words whose paths are known
 WIDTH, BATCH = 32, 10_000  # characters of a word, and words, that are solved together
 RESULT = T.StructType([T.StructField("n_pieces", T.IntegerType()), T.StructField("n_bytes", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("lossless", T.BooleanType())])
 
@@ -101,8 +103,10 @@ class PieceTransducer:
         self.out = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else p.replace(MARK, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.pairs = {p[i : i + 2] for p, k in zip(self.pieces, self.kinds, strict=True) if k in (NORMAL, USER_DEFINED) for i in range(len(p) - 1)}
         self._tables()
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.table = C.WordMemo(MEMO_BITS)
+        self.out_size = np.array([len(x) for x in self.out], np.int64)
+        self.out_start = np.cumsum(self.out_size) - self.out_size
+        self.out_bytes = np.frombuffer(b"".join(self.out), np.uint8)
 
     # ---- normaliser
 
@@ -216,52 +220,67 @@ class PieceTransducer:
             out[k] = np.array(self.shortest_path(marked[k])[0], dtype="<i4").tobytes()
         return out
 
-    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text; the words that the memo lacks are solved together."""
-        cut = [self.words(self.normalise(t or "")) for t in texts]
-        new: set[str] = set()
-        for _, words in cut:
-            new.update(words)
-        new.difference_update(self.memo)
-        memo, older = self.memo, self.older
-        again = [w for w in new if w in older]
-        memo.update((w, older[w]) for w in again)
-        new.difference_update(again)
-        self.solve(new)
-        got = [np.frombuffer(head + b"".join(map(memo.__getitem__, words)), dtype="<i4") for head, words in cut]
-        for w in new:
-            if len(w) > 64:
-                del memo[w]
-        if len(memo) > MEMO:
-            self.older, self.memo = memo, {}
-        return got
-
-    def solve(self, new: set[str]) -> None:
-        """Put words into the memo.  No arc spans two characters that are neighbours in no piece, so a
-        word's path passes the state between them: its tail of such characters is solved by itself."""
-        memo, pairs, stems, tails = self.memo, self.pairs, set(), {}
-        for w in new:
-            if w[-2:] in pairs or len(w) < 2:
-                stems.add(w)
-            else:
-                end = len(w) - 1
-                while end > 1 and w[end - 2 : end] not in pairs:
-                    end -= 1
-                tails[w] = end
-                if w[:end] not in memo:
-                    stems.add(w[:end])
+    def solve(self, words: list[str], _=None) -> list[np.ndarray]:
+        """The ids of what follows each run of marks.  No arc spans two characters that are neighbours
+        in no piece, so a path passes the state between them: a tail of such characters is cut off."""
+        pairs, ends, stems = self.pairs, [], {}
+        for w in words:
+            end = len(w)
+            while end > 1 and w[end - 2 : end] not in pairs:
+                end -= 1
+            ends.append(end)
+            stems[w[:end]] = None
         order = sorted(stems, key=len)
         for k in range(0, len(order), BATCH):
             part = order[k : k + BATCH]
-            memo.update(zip(part, self.shortest_paths(part), strict=True))
+            stems.update(zip(part, self.shortest_paths(part), strict=True))
         one: dict[str, bytes] = {}
-        for w, end in tails.items():
-            got = memo[w[:end]]
+        out = []
+        for w, end in zip(words, ends, strict=True):
+            got = stems[w[:end]]
             for c in w[end:]:
                 if c not in one:
                     one[c] = np.array(self.shortest_path(c)[0], dtype="<i4").tobytes()
                 got += one[c]
-            memo[w] = got
+            out.append(np.frombuffer(got, "<i4"))
+        return out
+
+    def encode_column(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each block of a text column: ids, where each row's begin, and whether decoding gave back the text.
+
+        Rows with single spaces only go through the word memo; others are composed as they are.
+        """
+        for start, end, buf, offs, _ in C.blocks(column):
+            odd = C.uneven_spaces(buf, offs) if self.prefix else np.ones(end - start, bool)
+            lead = np.flatnonzero(buf[:-2] == 0xE2) if len(buf) > 2 else np.zeros(0, np.int64)
+            odd |= C.rows_with(buf, offs, lead[(buf[lead + 1] == 0x96) & (buf[lead + 2] == 0x81)])
+            ids, at = C.tokens_of(buf, offs, self.table, self.solve, False)
+            if odd.any():
+                parts = [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                for k in np.flatnonzero(odd).tolist():
+                    parts[k] = self.encode(buf[offs[k] : offs[k + 1]].tobytes().decode())
+                ids = np.concatenate(parts)
+                at = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+            out, where = self.spell(ids)
+            where = where[at]
+            same = np.ones(end - start, bool)
+            for k, (a, b, x, y) in enumerate(zip(where[:-1].tolist(), where[1:].tolist(), offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
+                if odd[k]:
+                    same[k] = self.decode(ids[at[k] : at[k + 1]]) == self.normalise(buf[x:y].tobytes().decode())
+                elif x < y:
+                    same[k] = b - a == y - x + 1 and np.array_equal(out[a + 1 : b], buf[x:y])
+            yield ids, at, same
+
+    def spell(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids in a row, and where each id's begin (one more for the end)."""
+        size = self.out_size[ids]
+        ends = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+        return self.out_bytes[np.repeat(self.out_start[ids] - ends[:-1], size) + np.arange(ends[-1])], ends
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """The ids of one text."""
+        head, words = self.words(self.normalise(text or ""))
+        return np.concatenate([np.frombuffer(head, "<i4"), *self.solve(words)]) if words or head else np.zeros(0, "<i4")
 
     def words(self, text: str) -> tuple[bytes, list[str]]:
         """What a text's path is cut into: ids before the first mark, then what follows each run of marks."""
@@ -282,9 +301,6 @@ class PieceTransducer:
             words = [*joined, run[1:]] if run else joined
         return head, words
 
-    def encode(self, text: str | None) -> np.ndarray:
-        return self.encode_batch([text])[0]
-
     # ---- decoding
 
     def decode(self, ids) -> str:
@@ -331,17 +347,12 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text", drop: tuple[s
         machine = _transducer(shared, key)
         is_byte = np.array([k == BYTE for k in machine.kinds])
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
-                ids, size, n_bytes, same = [], [0], [], []
-                values = batch.column(text).to_pylist()
-                for value, own in zip(values, machine.encode_batch(values), strict=True):
-                    ids.append(own)
-                    size.append(size[-1] + len(own))
-                    n_bytes.append(int(is_byte[own].sum()))
-                    same.append(machine.decode(own) == machine.normalise(value or ""))
-                flat = np.concatenate(ids).astype(np.int32, copy=False) if ids else np.zeros(0, np.int32)
-                own = [pa.array(np.diff(size).astype(np.int32)), pa.array(n_bytes, pa.int32()), pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(flat)), pa.array(same, pa.bool_())]
+            start = 0
+            for ids, at, same in machine.encode_column(whole.column(text)):
+                batch = whole.slice(start, len(same))
+                start += len(same)
+                marks = np.concatenate(([0], np.cumsum(is_byte[ids])))
+                own = [pa.array(np.diff(at).astype(np.int32)), pa.array(np.diff(marks[at]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32, copy=False))), pa.array(same)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in passed), *own], names=[*(f.name for f in passed), *RESULT.names])
 
     return rest.mapInArrow(run, T.StructType([*passed, *RESULT.fields]))
