@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, decontam, langid, packing, pieces, quality, secrets, shards, topk
+from gridloom.llm import chat, decontam, jaccard, langid, packing, pieces, quality, secrets, shards, topk
 from gridloom.llm.common import table
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -61,6 +61,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"), n=10)
@@ -124,6 +128,28 @@ SELECT conv_id, n::BIGINT AS n_turns, sha256(turns) AS turns_sha256, length(loss
 FROM a
 """
 
+OP6_SQL = r"""
+WITH RECURSIVE
+w AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents),
+g AS (
+  SELECT DISTINCT rid, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS gram
+  FROM w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS r(i) WHERE len(w) > 0),
+n AS (SELECT rid, count(*) AS n, sum(hash(gram)) AS key FROM g GROUP BY rid),
+c AS (SELECT n, key, min(rid) AS rep FROM n GROUP BY n, key),
+own AS (SELECT n.rid, c.rep, n.n FROM n JOIN c USING (n, key)),
+rg AS (SELECT g.rid, g.gram FROM g JOIN (SELECT DISTINCT rep FROM c) r ON g.rid = r.rep),
+o AS (SELECT x.rid AS a, y.rid AS b, count(*) AS o FROM rg x JOIN rg y ON x.gram = y.gram AND x.rid < y.rid GROUP BY 1, 2),
+link AS (SELECT a, b FROM o JOIN n p ON o.a = p.rid JOIN n q ON o.b = q.rid WHERE 100 * o >= 75 * (p.n + q.n - o)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(a, b) AS (SELECT DISTINCT rep, rep FROM c UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+comp AS (SELECT r.a AS rep, min(w.doc_id) AS component_id FROM reach r JOIN own ON own.rep = r.b JOIN w ON w.rid = own.rid GROUP BY r.a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM w LEFT JOIN own USING (rid) LEFT JOIN comp ON comp.rep = own.rep
+"""
+
 OP7_SQL = r"""
 WITH item AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -152,9 +178,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_sharding": op4_sharding,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
     "op9_secret_scan": op9_secret_scan,
     "op10_sentencepiece": op10_sentencepiece,
 }
-ORACLE_SQL: dict[str, str] = {"op1_topk_search": OP1_SQL, "op5_chat_formatting": OP5_SQL, "op7_decontamination": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_jaccard_join": OP6_SQL, "op1_topk_search": OP1_SQL, "op5_chat_formatting": OP5_SQL, "op7_decontamination": OP7_SQL}
