@@ -17,15 +17,20 @@ def assign_stream(rows: DataFrame, weights: np.ndarray, distance: str = "euclide
     return assign(rows, weights, distance, features, "arrow", True)
 
 
+def timed(assigned: DataFrame, time: str, late: str) -> DataFrame:
+    """Event time with a watermark on streams, which need a timestamp with a zone."""
+    return assigned.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if assigned.isStreaming else assigned
+
+
 def drift_by_window(assigned: DataFrame, time: str = "ts", window: str = "1 day", late: str = "1 day") -> DataFrame:
     """``start``, ``n``, ``qe`` of each event-time window; rows later than the watermark are dropped."""
-    own = assigned.withWatermark(time, late) if assigned.isStreaming else assigned
+    own = timed(assigned, time, late)
     return own.groupBy(F.window(time, window).alias("w")).agg(F.count("*").alias("n"), F.avg("d1").alias("qe")).select(F.col("w.start").alias("start"), "n", "qe")
 
 
 def hits_by_window(assigned: DataFrame, time: str = "ts", window: str = "1 day", late: str = "1 day") -> DataFrame:
     """``start``, ``nid``, ``n``: hits of each neuron by event-time window."""
-    own = assigned.withWatermark(time, late) if assigned.isStreaming else assigned
+    own = timed(assigned, time, late)
     return own.groupBy(F.window(time, window).alias("w"), F.col("nid1").alias("nid")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "nid", "n")
 
 
