@@ -3,21 +3,25 @@
 A document's set holds its distinct k-word shingles as 64-bit hashes.  Documents with equal sets are
 one node (the set's digest), so copies meet only there.  The join then goes:
 
-1. One scan gives every document's digest and set size, and a hashed count sketch of shingle
-   frequencies (2**SKETCH_BITS cells for any corpus, so it can be broadcast).
-2. Shingles are ordered rare first by the sketch.  Two sets can only link if their prefixes in that
-   order share a shingle, so only prefixes are posted; they travel packed by shingle bucket.  Shingles
-   whose count is large are salted by node.
-3. In a bucket, the members of a shingle are checked by length and position, and meet the group's
-   first member (a star, never all pairs).  Groups of three or more are kept for step 5.
-4. A pair's suffixes are bounded by a sketch of both sets; what remains is verified once per pair on
-   the whole sets, which are gathered only for nodes that may be in a pair.
+1. One scan gives every document's digest and set size and sends each batch's shingles to buckets,
+   once for each batch, as sorted differences of a few bytes.  The buckets count documents exactly
+   and answer each batch with the shingles that occur more than once; a very common shingle is one
+   entry for each batch.
+2. Shingles are ordered rare first by these counts.  Two sets can only link if their prefixes in that
+   order share a shingle.  Unique shingles fill the prefixes' first places and match nothing, so
+   only the rest of a prefix is posted, packed by bucket.  Very common ones are salted by node.
+3. In a bucket, the members of a shingle meet the group's centre (a star, never all pairs), checked
+   by length, position, and how many of their shingles occur elsewhere at all.  Groups of three or
+   more are kept for step 5.
+4. A pair's suffixes are bounded by cell counts of both sets; what remains is verified once per pair
+   on the whole sets, which are gathered only for nodes that may be in a pair.
 5. Components of the verified links are found by alternating large and small stars.  Groups whose
    members lie in several components are taken up again: first each component's representative
    meets the largest component's, then every member outside the largest component meets the whole
    group, ``PIVOTS`` members of a group at a time, until no group spans two components unchecked.
-   So every pair of different components that shares a prefix shingle is verified, and no link
-   is lost, yet near copies cost a few pairs each.
+   Pairs that the sizes rule out or that were verified before are left out.  So every pair of
+   different components that shares a prefix shingle is decided, and no link is lost, yet near
+   copies cost a few pairs each.
 
 Two sets link when ``den * overlap >= num * union``.  Null texts and texts without words have empty
 sets and link with nothing.  Repeated rows and ids are rows of their own.  Equal 64-bit hashes of
@@ -31,15 +35,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import common as C
 
 WORDS = 5
 NUM, DEN = 75, 100
-SKETCH_BITS, SKETCH_PARTS = 21, 64
-BUCKET_POSTINGS = 1 << 19
+BATCH_TOKENS = 1 << 21
+BUCKET_TOKENS = 1 << 21
 SALT_ROWS = 1 << 16
 PIVOTS = 64
 FILTER_BITS = 26
@@ -65,96 +70,219 @@ def least_overlap(a, b, num: int = NUM, den: int = DEN):
     return -(-num * (a + b) // (num + den))
 
 
-def prefix(n: int, num: int = NUM, den: int = DEN) -> int:
+def prefix(n, num: int = NUM, den: int = DEN):
+    """Sets of this size that link with anything share one of so many first shingles."""
     return n - -(-num * n // den) + 1
 
 
-def profile(docs: DataFrame, k: int = WORDS) -> tuple[DataFrame, np.ndarray]:
-    """``doc_id``, ``d`` (null for empty sets) and ``n`` of each row, and a rank by sketch cell (0: rare)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("d", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("blob", pa.binary())])
+def token_buckets(docs: DataFrame) -> int:
+    """How many buckets hold about ``BUCKET_TOKENS`` shingles each, going by the texts' bytes."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    return max(8, int(size) // (6 * BUCKET_TOKENS) + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for batch in batches:
-            ids, sizes = [], []
-            for own in sets_of(batch.column("text"), k):
-                ids.append(digest(own) if len(own) else None)
-                sizes.append(len(own))
-                counts[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] += 1  # cells that meet within a set count once
-            none = [None] * batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], schema=schema)
-        if counts.any():
-            blobs = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, SKETCH_PARTS)]
-            none = [None] * SKETCH_PARTS
-            yield pa.RecordBatch.from_arrays([pa.array(none, pa.int64())] * 3 + [pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                own = np.frombuffer(zlib.decompress(blob), np.uint32)
-                sums[part] = sums[part] + own if part in sums else own.astype(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([rank_of(x).tobytes() for x in sums.values()], pa.binary())], names=["part", "blob"])
 
-    both = C.materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, d long, n long, part int, blob binary"))
-    rank = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint8)
-    summed = both.filter("part is not null").select("part", "blob").repartition(SKETCH_PARTS, "part").mapInArrow(add, "part int, blob binary")
-    for part, blob in summed.collect():  # 2**SKETCH_BITS bytes in all
-        rank[part] = np.frombuffer(bytes(blob), np.uint8)
-    return both.filter("part is null").select("doc_id", "d", "n"), rank.reshape(-1)
+def planes(x: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers as differences, byte by byte: the high bytes are mostly zero and compress."""
+    return np.diff(x.astype("<u4"), prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def rank_of(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(counts.astype(np.float64) + 1) * 6, 255).astype(np.uint8)
+def unplanes(data: bytes) -> np.ndarray:
+    flat = np.frombuffer(data, np.uint8).reshape(4, -1).T
+    return np.cumsum(np.ascontiguousarray(flat).view("<u4").ravel(), dtype=np.uint32)
 
 
-def post(docs: DataFrame, rank: np.ndarray, buckets: int, k: int, num: int, den: int) -> DataFrame:
-    """Prefixes packed by bucket: rows of ``bucket`` and columns of shingles, places, and runs of nodes."""
-    shared = docs.sparkSession.sparkContext.broadcast(rank)
+SCAN = "bucket int, batch long, doc_id long, d long, n long, shingle binary, times binary, owner binary"
+SCAN_ARROW = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("doc_id", pa.int64()), ("d", pa.int64()), ("n", pa.int64()), ("shingle", pa.binary()), ("times", pa.binary()), ("owner", pa.binary())])
+
+
+def scan_shingles(docs: DataFrame, buckets: int, k: int) -> DataFrame:
+    """The one scan of all texts, as rows to be shuffled by ``bucket``.
+
+    For each document its id, digest and set size.  For each batch of documents (``shingle`` is null:
+    its distinct sets' digests and sizes; bucket -1: the shingles that several of its sets share, with
+    their owners), and for each bucket the batch's shingles there, once each, with their counts and
+    the owners of those that occur once.  So a shingle has one entry for each batch, however common.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, seen = shared.value, set()
-        shingle, node, size, place, held = [], [], [], [], 0
+        number, seen = TaskContext.get().partitionId() << 32, set()
+        held, nodes, sizes, total = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            s, at = np.concatenate(shingle), np.concatenate(place)
-            d, n = np.repeat(np.array(node, np.int64), [len(x) for x in shingle]), np.repeat(np.array(size, np.int64), [len(x) for x in shingle])
-            to = bucket_of(s, d, buckets)
-            by = np.argsort(to, kind="stable")
-            s, at, d, n, to = s[by], at[by], d[by], n[by], to[by]
-            cut = np.flatnonzero(np.diff(to, prepend=-1, append=-2))
-            rows: dict[str, list] = {c: [] for c in ("bucket", "shingle", "place", "run", "node", "size")}
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                first = np.flatnonzero(np.concatenate(([True], d[a + 1 : b] != d[a : b - 1])))
-                rows["bucket"].append(int(to[a]))
-                rows["shingle"].append(s[a:b].tobytes())
-                rows["place"].append(narrow(at[a:b]))
-                rows["run"].append(narrow(np.diff(first, append=b - a)))
-                rows["node"].append(d[a:b][first].tobytes())
-                rows["size"].append(narrow(n[a:b][first]))
-            yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), *(pa.array(rows[c], pa.binary()) for c in list(rows)[1:])], names=list(rows))
+            every = np.concatenate(held)
+            owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x) for x in held])
+            key = C.mix(every) % np.uint64(buckets) << np.uint64(32) | every >> np.uint64(32)
+            by = np.argsort(key, kind="stable")
+            key, owner = key[by], owner[by]
+            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            count = np.diff(start, append=len(key))
+            unique, lead = key[start], owner[start]
+            many = count > 1
+            rows = [{"bucket": number % buckets, "batch": number, "times": np.array(nodes, np.int64).tobytes(), "owner": narrow(np.array(sizes))}]
+            if many.any():
+                inside = np.repeat(many, count)
+                rows.append({"bucket": number % buckets, "batch": number, "n": -1, "shingle": unique[many].tobytes(), "times": narrow(count[many]), "owner": narrow(owner[inside])})
+            cut = np.searchsorted(unique >> np.uint64(32), np.arange(buckets + 1))
+            for i in np.flatnonzero(np.diff(cut)).tolist():
+                part = slice(cut[i], cut[i + 1])
+                rows.append({"bucket": i, "batch": number, "shingle": planes(unique[part] & np.uint64(0xFFFFFFFF)), "times": narrow(count[part]), "owner": narrow(lead[part][~many[part]])})
+            yield pa.RecordBatch.from_pylist(rows, SCAN_ARROW)
 
         for batch in batches:
+            ids, lengths = [], []
             for own in sets_of(batch.column("text"), k):
-                if not len(own) or (d := digest(own)) in seen:
+                d = digest(own) if len(own) else None
+                ids.append(d)
+                lengths.append(len(own))
+                if d is None or d in seen:
                     continue
                 if len(seen) >= 1 << 20:
                     seen.clear()
                 seen.add(d)
-                ranked = np.sort(order[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | own >> np.uint64(8))
-                p = prefix(len(own), num, den)
-                shingle.append(ranked[:p])
-                place.append(np.arange(p))
-                node.append(d)
-                size.append(len(own))
-                held += p
-                if held >= 1 << 20:
+                held.append(own)
+                nodes.append(d)
+                sizes.append(len(own))
+                total += len(own)
+                if total >= BATCH_TOKENS:
                     yield from flush()
-                    shingle, node, size, place, held = [], [], [], [], 0
+                    held, nodes, sizes, total, number = [], [], [], 0, number + 1
+            n = batch.num_rows
+            spread = pa.array((np.arange(n) + number) % buckets, pa.int32())
+            none = pa.nulls(n, pa.binary())
+            yield pa.RecordBatch.from_arrays([spread, pa.nulls(n, pa.int64()), batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), none, none, none], schema=SCAN_ARROW)
         if held:
             yield from flush()
 
-    return docs.select("text").mapInArrow(run, "bucket int, shingle binary, place binary, run binary, node binary, size binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCAN)
+
+
+COUNTED = "batch long, doc_id long, d long, n long, shingle binary, times binary, owner binary"
+COUNTED_ARROW = pa.schema(list(SCAN_ARROW)[1:])
+MANY = 0xFFFFFFFF
+
+
+def count_shingles(scanned: DataFrame, spread: int) -> DataFrame:
+    """Exact document counts by bucket.  Each batch gets back its shingles that occur elsewhere too or
+    several times in it: a rank of the count over the shingle's place, and its owner (``MANY``: see the
+    batch's own list).  Rows of documents and batches pass through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            parts = [unplanes(r[1]) for r in held]
+            size = [len(x) for x in parts]
+            every, times = np.concatenate(parts), np.concatenate([widen(r[2]) for r in held])
+            by = np.argsort(every, kind="stable")
+            start = np.flatnonzero(np.concatenate(([True], np.diff(every[by]) != 0)))
+            total = np.add.reduceat(times[by], start)
+            counts = np.empty(len(every), np.int64)
+            counts[by] = np.repeat(total, np.diff(start, append=len(every)))
+            at = 0
+            for (batch, _, _, owner), n in zip(held, size, strict=True):
+                own, mine, count = every[at : at + n], times[at : at + n], counts[at : at + n]
+                at += n
+                who = np.full(n, MANY, np.int64)
+                who[mine == 1] = widen(owner)
+                shared = count > 1
+                if shared.any():
+                    ids = rank_of(count[shared]).astype(np.uint64) << np.uint64(56) | np.uint64(now) << np.uint64(32) | own[shared].astype(np.uint64)
+                    yield pa.RecordBatch.from_pylist([{"batch": batch, "n": -2, "shingle": ids.tobytes(), "owner": who[shared].astype("<u4").tobytes()}], COUNTED_ARROW)
+
+        for batch in batches:
+            rows = batch.num_rows
+            tokens = np.asarray(batch.column("shingle").is_valid()) & np.asarray(batch.column("n").is_null())
+            rest = batch.filter(pa.array(~tokens))
+            if rest.num_rows:
+                yield pa.RecordBatch.from_arrays(rest.columns[1:], schema=COUNTED_ARROW)
+            if rows > rest.num_rows:
+                own = batch.filter(pa.array(tokens))
+                for bucket, *row in zip(*(own.column(c).to_pylist() for c in ("bucket", "batch", "shingle", "times", "owner")), strict=True):
+                    if bucket != now and held:
+                        yield from answer()
+                        held = []
+                    now = bucket
+                    held.append(row)
+        if held:
+            yield from answer()
+
+    return scanned.repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(run, COUNTED)
+
+
+POSTED = "bucket int, shingle binary, place binary, run binary, node binary, size binary, shared binary, weight binary"
+
+
+def post(counted: DataFrame, spread: int, buckets: int, num: int, den: int) -> DataFrame:
+    """Prefixes by bucket of shingle.  A set's unique shingles come first and can't match, so they only
+    take up places; what is left of the prefix is posted in order of count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def prefixes() -> Iterator[pa.RecordBatch]:
+            lead = [r for r in held if r[0] is None]
+            node, size = np.frombuffer(lead[0][2], np.int64), widen(lead[0][3])
+            local = [r for r in held if r[0] == -1]
+            parts, owners = [], []
+            for _, shingle, _, owner in (r for r in held if r[0] == -2):
+                ids, who = np.frombuffer(shingle, np.uint64), np.frombuffer(owner, "<u4").astype(np.int64)
+                parts.append(ids[who != MANY])
+                owners.append(who[who != MANY])
+                common = ids[who == MANY]
+                if len(common):
+                    keys, times, every = np.frombuffer(local[0][1], np.uint64), widen(local[0][2]), widen(local[0][3])
+                    first = np.cumsum(times) - times
+                    at = np.searchsorted(keys, common & np.uint64((1 << 56) - 1))
+                    n = times[at]
+                    parts.append(np.repeat(common, n))
+                    ends = np.cumsum(n)
+                    owners.append(every[np.repeat(first[at] - (ends - n), n) + np.arange(ends[-1])])
+            if not parts:
+                return
+            s, o = np.concatenate(parts), np.concatenate(owners)
+            by = np.lexsort((s, o))
+            s, o = s[by], o[by]
+            shared = np.bincount(o, minlength=len(node))
+            weight = (np.bincount(o, weights=(s >> np.uint64(56)).astype(float), minlength=len(node)) / np.maximum(size, 1) * 64).astype(np.int64)
+            first = np.cumsum(shared) - shared
+            place = np.arange(len(s)) - first[o] + (size - shared)[o]
+            kept = place < prefix(size, num, den)[o]
+            s, o, place = s[kept], o[kept], place[kept]
+            if len(s):
+                yield packed(s, place, node[o], size[o], shared[o], weight[o], buckets)
+
+        for batch in batches:
+            for number, *row in zip(*(batch.column(c).to_pylist() for c in ("batch", "n", "shingle", "times", "owner")), strict=True):
+                if number != now and held:
+                    yield from prefixes()
+                    held = []
+                now = number
+                held.append(row)
+        if held:
+            yield from prefixes()
+
+    return counted.filter("batch is not null").repartition(spread, "batch").sortWithinPartitions("batch").mapInArrow(run, POSTED)
+
+
+def packed(s, at, d, n, shared, weight, buckets: int) -> pa.RecordBatch:
+    """Postings as one row for each bucket, with runs of one node written once."""
+    to = bucket_of(s, d, buckets)
+    by = np.argsort(to, kind="stable")
+    s, at, d, n, shared, weight, to = s[by], at[by], d[by], n[by], shared[by], weight[by], to[by]
+    cut = np.flatnonzero(np.diff(to, prepend=-1, append=-2))
+    names = ("bucket", "shingle", "place", "run", "node", "size", "shared", "weight")
+    rows: dict[str, list] = {c: [] for c in names}
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        first = np.flatnonzero(np.concatenate(([True], d[a + 1 : b] != d[a : b - 1])))
+        values = (int(to[a]), s[a:b].tobytes(), narrow(at[a:b]), narrow(np.diff(first, append=b - a)), d[a:b][first].tobytes(), *(narrow(x[a:b][first]) for x in (n, shared, weight)))
+        for c, v in zip(names, values, strict=True):
+            rows[c].append(v)
+    return pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), *(pa.array(rows[c], pa.binary()) for c in names[1:])], names=list(names))
+
+
+def rank_of(counts: np.ndarray) -> np.ndarray:
+    """Document counts on a scale of sixths of a power of two."""
+    return np.minimum(np.log2(counts.astype(np.float64)) * 6, 255).astype(np.uint8)
 
 
 def salts(shingle: np.ndarray) -> np.ndarray:
@@ -164,7 +292,7 @@ def salts(shingle: np.ndarray) -> np.ndarray:
 
 def bucket_of(shingle: np.ndarray, node: np.ndarray, buckets: int) -> np.ndarray:
     part = salts(shingle)
-    salt = np.where(part > 1, np.abs(node) % part, 0).astype(np.uint64)
+    salt = np.where(part > 1, (node.view(np.uint64) % part.astype(np.uint64)), 0).astype(np.uint64)
     with np.errstate(over="ignore"):
         return (C.mix(shingle + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
 
@@ -180,35 +308,35 @@ def widen(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"u{data[:1].decode()}", offset=1).astype(np.int64)
 
 
-def meet(posted: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
-    """Rows of ``gid``, ``a``, ``b``, ``n``: pairs (gid null), and members ``a`` of groups to come back to."""
-    spread = max(1, buckets // 2)
+def meet(posted: DataFrame, spread: int, num: int, den: int) -> DataFrame:
+    """Rows of ``gid``, ``a``, ``b``, ``n``, ``s``: pairs (gid null), and members ``a`` of groups to come back to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "shingle", "place", "run", "node", "size")), strict=True):
-                if row[0] != now and held:
+            for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "shingle", "place", "run", "node", "size", "shared", "weight")), strict=True):
+                if bucket != now and held:
                     yield from joined(held, num, den)
                     held = []
-                now = row[0]
-                held.append(row[1:])
+                now = bucket
+                held.append(row)
         if held:
             yield from joined(held, num, den)
 
-    return posted.repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "gid long, a long, b long, n long")
+    return posted.repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "gid long, a long, b long, n long, s long")
 
 
-def joined(held: list[tuple], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """The star pairs and open groups of one bucket."""
-    shingle = np.concatenate([np.frombuffer(r[0], np.uint64) for r in held])
-    place, runs = np.concatenate([widen(r[1]) for r in held]), [widen(r[2]) for r in held]
+def joined(held: list[list], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The star pairs and open groups of one bucket.  A group's centre is the member whose shingles are
+    the most common on average: an original rather than one of its variants."""
+    runs = [widen(r[2]) for r in held]
+    shingle, place = np.concatenate([np.frombuffer(r[0], np.uint64) for r in held]), np.concatenate([widen(r[1]) for r in held])
     node = np.concatenate([np.repeat(np.frombuffer(r[3], np.int64), k) for r, k in zip(held, runs, strict=True)])
-    size = np.concatenate([np.repeat(widen(r[4]), k) for r, k in zip(held, runs, strict=True)])
-    by = np.lexsort((node, shingle))
-    shingle, place, node, size = shingle[by], place[by], node[by], size[by]
+    size, shared, weight = (np.concatenate([np.repeat(widen(r[i]), k) for r, k in zip(held, runs, strict=True)]) for i in (4, 5, 6))
+    by = np.lexsort((node, -weight, shingle))
+    shingle, place, node, size, shared = (v[by] for v in (shingle, place, node, size, shared))
     new = np.concatenate(([True], (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1])))
-    shingle, place, node, size = shingle[new], place[new], node[new], size[new]
+    shingle, place, node, size, shared = (v[new] for v in (shingle, place, node, size, shared))
     start = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
     count = np.diff(start, append=len(shingle))
     first = np.repeat(start, count)
@@ -216,29 +344,30 @@ def joined(held: list[tuple], num: int, den: int) -> Iterator[pa.RecordBatch]:
     a, b = first[other], np.flatnonzero(other)
     low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
     most = np.minimum(place[a], place[b]) + np.minimum(size[a] - place[a], size[b] - place[b])
-    fits = (low * den >= high * num) & (np.minimum(most, low) >= least_overlap(size[a], size[b], num, den))
-    pairs = np.unique(np.stack((node[a[fits]], node[b[fits]]), axis=1), axis=0)
+    most = np.minimum(most, np.minimum(shared[a], shared[b]))
+    fits = (low * den >= high * num) & (most >= least_overlap(size[a], size[b], num, den))
+    ends = np.sort(np.stack((node[a[fits]], node[b[fits]]), axis=1), axis=1)
+    pairs = np.unique(ends, axis=0)
     split = salts(shingle[start]) > 1
     again = (count > 2) | split
     kept, gid = [], []
     known: set[int] = set()
     for s, k, salted in zip(start[again].tolist(), count[again].tolist(), split[again].tolist(), strict=True):
-        own = node[s : s + k]
-        key = int(C.signed(shingle[s : s + 1])[0]) if salted else digest(own.view(np.uint64))
-        if key not in known:
+        key = int(C.signed(shingle[s : s + 1])[0]) if salted else digest(np.sort(node[s : s + k].view(np.uint64)))
+        if salted or key not in known:
             known.add(key)
             kept.append(np.arange(s, s + k))
             gid.append(np.full(k, key))
     rows = np.concatenate(kept) if kept else np.zeros(0, np.int64)
     gids = np.concatenate(gid) if gid else np.zeros(0, np.int64)
-    names = ["gid", "a", "b", "n"]
+    names = ["gid", "a", "b", "n", "s"]
     for i in range(0, len(pairs), 1 << 16):
         part = pairs[i : i + (1 << 16)]
         none = pa.nulls(len(part), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.array(part[:, 0]), pa.array(part[:, 1]), none], names=names)
+        yield pa.RecordBatch.from_arrays([none, pa.array(part[:, 0]), pa.array(part[:, 1]), none, none], names=names)
     for i in range(0, len(rows), 1 << 16):
         part = rows[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(gids[i : i + (1 << 16)]), pa.array(node[part]), pa.nulls(len(part), pa.int64()), pa.array(size[part])], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(gids[i : i + (1 << 16)]), pa.array(node[part]), pa.nulls(len(part), pa.int64()), pa.array(size[part]), pa.array(shared[part])], names=names)
 
 
 def gather_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -323,41 +452,60 @@ def components(edges: DataFrame) -> DataFrame:
         now = C.materialise(pick(small))
 
 
+def may_link(m: str, u: str, n: str, s: str, num: int, den: int) -> Column:
+    """Whether sets of sizes ``m`` and ``n`` of which ``u`` and ``s`` shingles occur elsewhere can link."""
+    need = F.ceil((F.col(m) + F.col(n)) * num / (num + den))
+    return (F.least(m, n) * den >= F.greatest(m, n) * num) & (F.least(u, s) >= need)
+
+
+def still_open(groups: DataFrame, found: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Members with their component, without those that can link with no size in their group, and each
+    group of several components with its largest one and that one's representative."""
+    here = groups.join(found, "d", "left").select("gid", "d", "n", "s", F.coalesce("comp", "d").alias("c"))
+    least = here.groupBy("gid").agg(F.min("n").alias("low"))
+    partner = F.greatest("low", F.ceil(F.col("n") * num / den))
+    here = here.join(least, "gid").filter(F.col("s") >= F.ceil((F.col("n") + partner) * num / (num + den))).drop("low")
+    per = here.groupBy("gid", "c").agg(F.count("*").alias("k"), F.max(F.struct("s", "d", "n")).alias("r"))
+    tops = per.groupBy("gid").agg(F.count("*").alias("parts"), F.max(F.struct("k", "c", "r")).alias("top")).filter("parts > 1")
+    tops = C.materialise(tops.select("gid", F.col("top.c").alias("main"), F.col("top.r").alias("r0")))
+    return here, tops
+
+
 def jaccard_groups(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` for each row of ``docs`` (``doc_id``, ``text``)."""
-    rows, rank = profile(docs, k)
-    total = rows.agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1).alias("t")).first()["t"] or 0
-    buckets = max(8, int(total) // BUCKET_POSTINGS + 1) * 2
-    met = C.materialise(meet(post(docs, rank, buckets, k, num, den), buckets, num, den))
+    buckets = token_buckets(docs)
+    spread = max(8, min(buckets, 2000))
+    counted = C.materialise(count_shingles(scan_shingles(docs, buckets, k), spread))
+    rows = counted.filter("batch is null").select("doc_id", "d", "n")
+    met = C.materialise(meet(post(counted, spread, buckets, num, den), spread, num, den))
     pairs = C.materialise(met.filter("gid is null").select("a", "b").distinct())
-    open_ = C.materialise(met.filter("gid is not null").select("gid", F.col("a").alias("d"), "n").distinct())
-    nodes = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).union(open_.select("d")).distinct()
+    groups = C.materialise(met.filter("gid is not null").select("gid", F.col("a").alias("d"), "n", "s").distinct())
+    nodes = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).union(groups.select("d")).distinct()
     sets = gather_sets(docs, nodes, k)
-    links = C.materialise(verify(pairs, sets, num, den))
-    found = components(links)
-    links, first = found.select(F.col("d").alias("a"), F.col("comp").alias("b")), True
+    links, found = C.materialise(verify(pairs, sets, num, den)), None
+    done, first = pairs, True
     while True:
-        here = open_.join(found, "d", "left").select("gid", "d", "n", F.coalesce("comp", "d").alias("c"))
-        per = here.groupBy("gid", "c").agg(F.count("*").alias("k"), F.min(F.struct("d", "n")).alias("r"))
-        tops = per.groupBy("gid").agg(F.count("*").alias("parts"), F.max(F.struct("k", "c", "r")).alias("top")).filter("parts > 1").select("gid", F.col("top.c").alias("main"), F.col("top.r").alias("r0"))
-        tops = C.materialise(tops)
+        found = components(links)
+        links = found.select(F.col("d").alias("a"), F.col("comp").alias("b"))
+        here, tops = still_open(groups, found, num, den)
         if tops.isEmpty():
             break
+        here = C.materialise(here.join(tops, "gid"))
+        other = here.filter("c <> main")
         if first:
-            some = per.join(tops, "gid").filter("c <> main").select(F.col("r.d").alias("p"), F.col("r.n").alias("m"), F.col("r0.d").alias("q"), F.col("r0.n").alias("n"))
+            some = other.groupBy("gid", "c", "r0").agg(F.max(F.struct("s", "d", "n")).alias("r")).select(F.col("r.d").alias("p"), F.col("r.n").alias("m"), F.col("r.s").alias("u"), F.col("r0.d").alias("d"), F.col("r0.n").alias("n"), F.col("r0.s").alias("s")).filter(may_link("m", "u", "n", "s", num, den))
+            groups = here.select("gid", "d", "n", "s")
         else:
-            here = C.materialise(here.join(tops, "gid").select("gid", "d", "n", "c", "main"))
             order = Window.partitionBy("gid").orderBy("d")
-            minor = C.materialise(here.filter("c <> main").withColumn("i", F.row_number().over(order)).filter(F.col("i") <= PIVOTS).select("gid", F.col("d").alias("p"), F.col("n").alias("m"), F.col("c").alias("e")))
-            some = minor.join(here, "gid").filter("c <> e").select("p", "m", F.col("d").alias("q"), "n")
-            open_ = C.materialise(here.join(minor.select("gid", F.col("p").alias("d")), ["gid", "d"], "left_anti").select("gid", "d", "n"))
+            minor = C.materialise(other.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= PIVOTS).select("gid", F.col("d").alias("p"), F.col("n").alias("m"), F.col("s").alias("u"), F.col("c").alias("e")))
+            some = minor.join(here, (minor["gid"] == here["gid"]) & (F.col("c") != F.col("e")) & may_link("m", "u", "n", "s", num, den)).select("p", "d")
+            groups = C.materialise(here.join(minor.select("gid", F.col("p").alias("d")), ["gid", "d"], "left_anti").select("gid", "d", "n", "s"))
         first = False
-        some = some.filter((F.least("m", "n") * den >= F.greatest("m", "n") * num) & (F.col("p") != F.col("q")))
-        some = some.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-        new = C.materialise(verify(some, sets, num, den))
-        if not new.isEmpty():
-            found = components(links.unionByName(new))
-            links = found.select(F.col("d").alias("a"), F.col("comp").alias("b"))
+        some = some.select(F.least("p", "d").alias("a"), F.greatest("p", "d").alias("b")).filter("a <> b").distinct()
+        some = C.materialise(some.join(done, ["a", "b"], "left_anti"))
+        if not some.isEmpty():
+            done = done.unionByName(some)
+            links = links.unionByName(verify(some, sets, num, den))
     placed = C.materialise(rows.join(found, "d", "left").select("doc_id", "n", F.coalesce("comp", "d").alias("c")))
     named = placed.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("least_id"))
     return placed.join(named, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"))
