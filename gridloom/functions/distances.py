@@ -110,6 +110,21 @@ def nearest(x: np.ndarray, w: np.ndarray, distance: str | Callable = "euclidean"
     return ids, found
 
 
+def nearest_two(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two nearest neurons by Euclidean distance and the nearest's distance, for training.
+
+    Neurons are compared by the expanded form alone, so exact ties are not settled by id.
+    """
+    d = x @ (-2.0 * w.T)
+    d += (w * w).sum(axis=1)
+    rows, ids = np.arange(len(x)), np.empty((len(x), 2), np.int64)
+    ids[:, 0] = d.argmin(axis=1)
+    d[rows, ids[:, 0]] = np.inf
+    ids[:, 1] = d.argmin(axis=1) if len(w) > 1 else 0
+    gap = x - w[ids[:, 0]]
+    return ids, np.sqrt(np.einsum("ij,ij->i", gap, gap))
+
+
 def _smallest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     ids, found, rows = np.empty((len(d), k), np.int64), np.empty((len(d), k)), np.arange(len(d))
     for i in range(k):

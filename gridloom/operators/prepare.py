@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,11 +27,39 @@ def standardize(df: DataFrame, columns: list[str], sample: bool = False) -> Data
     return df.crossJoin(F.broadcast(stats)).withColumns(z).select(*df.columns)
 
 
-def standardize_vectors(df: DataFrame, size: int, vector: str = "features", sample: bool = False) -> DataFrame:
-    """z-scores of each component of an array column."""
-    names = [f"__v{i}" for i in range(size)]
-    wide = df.withColumns({n: F.col(vector)[i].cast("double") for i, n in enumerate(names)})
-    return standardize(wide, names, sample).withColumn(vector, F.array(*names)).select(*df.columns)
+def vector_moments(df: DataFrame, vector: str = "features") -> tuple[int, np.ndarray, np.ndarray]:
+    """Row count, and mean and sum of squared deviations of each component: one small row for each task."""
+
+    def merged(a: tuple | None, b: tuple) -> tuple:
+        if a is None:
+            return b
+        n, gap = a[0] + b[0], b[1] - a[1]
+        return n, a[1] + gap * (b[0] / n), a[2] + b[2] + gap * gap * (a[0] * b[0] / n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = None
+        for batch in batches:
+            if batch.num_rows:
+                flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+                x = flat.reshape(batch.num_rows, -1)
+                mean = x.mean(axis=0)
+                got = merged(got, (len(x), mean, ((x - mean) ** 2).sum(axis=0)))
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array([got[0]]), pa.array([got[1].tobytes()], pa.binary()), pa.array([got[2].tobytes()], pa.binary())], names=["n", "mean", "m2"])
+
+    total = None
+    for r in df.select(F.col(vector).cast("array<double>").alias(vector)).mapInArrow(run, "n long, mean binary, m2 binary").collect():
+        total = merged(total, (r["n"], np.frombuffer(bytes(r["mean"])), np.frombuffer(bytes(r["m2"]))))
+    return total or (0, np.zeros(0), np.zeros(0))
+
+
+def standardize_vectors(df: DataFrame, vector: str = "features", sample: bool = False) -> DataFrame:
+    """z-scores of each component of an array column; a constant component is only centred."""
+    n, mean, m2 = vector_moments(df, vector)
+    spread = np.sqrt(m2 / max(1, n - sample)) if n else m2
+    values = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    centred = F.zip_with(F.col(vector).cast("array<double>"), values(mean), lambda a, b: a - b)
+    return df.withColumn(vector, F.zip_with(centred, values(np.where(spread == 0, 1.0, spread)), lambda a, b: a / b)) if n else df
 
 
 def encode_labels(df: DataFrame, column: str, out: str = "label") -> DataFrame:

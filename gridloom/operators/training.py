@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.config import MapConfig
-from gridloom.functions.distances import nearest
+from gridloom.functions.distances import nearest, nearest_two
 from gridloom.functions.lattice import axis_distance_sq, offset_distance, torus_offset_distance
 from gridloom.functions.neighborhoods import NEIGHBORHOODS
 from gridloom.functions.schedules import schedules
@@ -50,13 +50,17 @@ def partial_sums(x: np.ndarray, w: np.ndarray, config: MapConfig) -> Sums:
     """What an update and the errors need of some rows."""
     n, s, d, e = np.zeros(len(w)), np.zeros_like(w), 0.0, 0.0
     for part in row_blocks(x, len(w)):
-        ids, dist = nearest(part, w, config.distance, 2)
+        if config.distance == "euclidean":
+            ids, near = nearest_two(part, w)
+        else:
+            ids, dist = nearest(part, w, config.distance, 2)
+            near = dist[:, 0]
         own = ids[:, 0]
         n += np.bincount(own, minlength=len(w))
         order = np.argsort(own, kind="stable")
         first = np.flatnonzero(np.diff(own[order], prepend=-1))
         s[own[order][first]] += np.add.reduceat(part[order], first, axis=0)
-        d += float(dist[:, 0].sum())
+        d += float(near.sum())
         if len(w) > 1:
             e += float(not_adjacent(own, ids[:, 1], config).sum())
     return n, s, d, e

@@ -203,7 +203,7 @@ def test_preparation(spark):
     got = prepare.standardize(df, ["a", "b"]).orderBy("id").collect()
     assert [r["a"] for r in got] == [-1.0, 1.0] and [r["b"] for r in got] == [0.0, 0.0]
     vec = prepare.vectorize(df, ["a", "b"])
-    assert vec.columns == ["id", "features"] and prepare.standardize_vectors(vec, 2).first()["features"] == [-1.0, 0.0]
+    assert vec.columns == ["id", "features"] and prepare.standardize_vectors(vec).first()["features"] == [-1.0, 0.0]
     assert prepare.shuffled_batches(df.withColumnRenamed("id", "row_id"), 1, 0).columns[-1] == "batch"
     assert prepare.drop_noise(df.withColumn("label", F.lit(-1))).count() == 0
     parts = prepare.train_test_split(spark.range(101).withColumnRenamed("id", "row_id"))
