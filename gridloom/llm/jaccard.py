@@ -46,7 +46,7 @@ NUM, DEN = 75, 100
 BATCH_TOKENS = 1 << 21
 BUCKET_TOKENS = 1 << 21
 SALT_ROWS = 1 << 16
-PIVOTS = 64
+PIVOTS = 1024
 FILTER_BITS = 26
 SUFFIX_CELLS = 256
 BROADCAST_IDS = 1_000_000  # ids of 8 bytes; more are joined by shuffle
@@ -410,23 +410,36 @@ def cells(own: np.ndarray) -> np.ndarray:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``a``, ``b`` that link."""
+    """The pairs ``a``, ``b`` with ``link``, and ``o``, their overlap (null where it is far too small)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            links, overlaps = [], []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 need = least_overlap(len(p), len(q), num, den)
-                if min(len(p), len(q)) < need or np.minimum(cells(p), cells(q)).sum() < need:  # the suffix filter
-                    keep.append(False)
-                else:
-                    keep.append(len(np.intersect1d(p, q, assume_unique=True)) >= need)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+                most = int(np.minimum(cells(p), cells(q)).sum())  # the suffix filter
+                o = len(np.intersect1d(p, q, assume_unique=True)) if 2 * most >= need else None
+                links.append(o is not None and o >= need)
+                overlaps.append(o)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(overlaps, pa.int64()), pa.array(links, pa.bool_())], names=["a", "b", "o", "link"])
 
     with_a = pairs.join(sets.select(F.col("d").alias("a"), F.col("own").alias("x")), "a")
     both = with_a.join(sets.select(F.col("d").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long, o long, link boolean")
+
+
+def references(checked: DataFrame) -> DataFrame:
+    """``d``, ``ref``, ``o``: of the nodes that each node was compared with, the one with most
+    comparisons, and the overlap; the node itself (``o`` null) where it has the most."""
+    both = checked.filter("o is not null").select("a", "b", "o")
+    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "o"))
+    degree = both.groupBy("a").agg(F.count("*").alias("k"))
+    other = degree.select(F.col("a").alias("b"), F.col("k").alias("bk"))
+    best = both.join(other, "b").groupBy("a").agg(F.max(F.struct("bk", "b", "o")).alias("m"))
+    own = F.struct(F.col("k").alias("bk"), F.col("a").alias("b"))
+    first = F.struct(F.col("m.bk").alias("bk"), F.col("m.b").alias("b"))
+    return best.join(degree, "a").select(F.col("a").alias("d"), F.when(own > first, F.col("a")).otherwise(F.col("m.b")).alias("ref"), F.when(own > first, None).otherwise(F.col("m.o")).alias("o"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -458,10 +471,18 @@ def may_link(m: str, u: str, n: str, s: str, num: int, den: int) -> Column:
     return (F.least(m, n) * den >= F.greatest(m, n) * num) & (F.least(u, s) >= need)
 
 
+def by_reference(num: int, den: int) -> Column:
+    """Whether two sets that were compared with one reference can link: inside the reference they share
+    at most the smaller overlap, outside it at most what the smaller rest shares with anything."""
+    most = F.least("v", "o") + F.least(F.col("u") - F.col("v"), F.col("s") - F.col("o"))
+    need = F.ceil((F.col("m") + F.col("n")) * num / (num + den))
+    return F.coalesce((F.col("via") != F.col("ref")) | (most >= need), F.lit(True))
+
+
 def still_open(groups: DataFrame, found: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Members with their component, without those that can link with no size in their group, and each
     group of several components with its largest one and that one's representative."""
-    here = groups.join(found, "d", "left").select("gid", "d", "n", "s", F.coalesce("comp", "d").alias("c"))
+    here = groups.join(found, "d", "left").select("gid", "d", "n", "s", "ref", "o", F.coalesce("comp", "d").alias("c"))
     least = here.groupBy("gid").agg(F.min("n").alias("low"))
     partner = F.greatest("low", F.ceil(F.col("n") * num / den))
     here = here.join(least, "gid").filter(F.col("s") >= F.ceil((F.col("n") + partner) * num / (num + den))).drop("low")
@@ -482,30 +503,34 @@ def jaccard_groups(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = D
     groups = C.materialise(met.filter("gid is not null").select("gid", F.col("a").alias("d"), "n", "s").distinct())
     nodes = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).union(groups.select("d")).distinct()
     sets = gather_sets(docs, nodes, k)
-    links, found = C.materialise(verify(pairs, sets, num, den)), None
-    done, first = pairs, True
+    checked = C.materialise(verify(pairs, sets, num, den))
+    links, first, base = checked.filter("link").select("a", "b"), True, groups
     while True:
         found = components(links)
         links = found.select(F.col("d").alias("a"), F.col("comp").alias("b"))
+        if base is not None:  # overlaps with a common reference bound those of other pairs
+            groups = base.join(references(checked), "d", "left").select("gid", "d", "n", "s", "ref", F.coalesce("o", F.when(F.col("ref") == F.col("d"), F.col("n"))).alias("o"))
+            base = None
         here, tops = still_open(groups, found, num, den)
         if tops.isEmpty():
             break
         here = C.materialise(here.join(tops, "gid"))
         other = here.filter("c <> main")
         if first:
-            some = other.groupBy("gid", "c", "r0").agg(F.max(F.struct("s", "d", "n")).alias("r")).select(F.col("r.d").alias("p"), F.col("r.n").alias("m"), F.col("r.s").alias("u"), F.col("r0.d").alias("d"), F.col("r0.n").alias("n"), F.col("r0.s").alias("s")).filter(may_link("m", "u", "n", "s", num, den))
-            groups = here.select("gid", "d", "n", "s")
+            some = other.groupBy("gid", "c", "r0").agg(F.max(F.struct("s", "d", "n")).alias("r")).select(F.col("r.d").alias("p"), F.col("r0.d").alias("d"))
+            base = here.select("gid", "d", "n", "s")
         else:
             order = Window.partitionBy("gid").orderBy("d")
-            minor = C.materialise(other.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= PIVOTS).select("gid", F.col("d").alias("p"), F.col("n").alias("m"), F.col("s").alias("u"), F.col("c").alias("e")))
-            some = minor.join(here, (minor["gid"] == here["gid"]) & (F.col("c") != F.col("e")) & may_link("m", "u", "n", "s", num, den)).select("p", "d")
-            groups = C.materialise(here.join(minor.select("gid", F.col("p").alias("d")), ["gid", "d"], "left_anti").select("gid", "d", "n", "s"))
+            minor = C.materialise(other.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= PIVOTS).select("gid", F.col("d").alias("p"), F.col("n").alias("m"), F.col("s").alias("u"), F.col("c").alias("e"), F.col("ref").alias("via"), F.col("o").alias("v")))
+            some = minor.join(here, (minor["gid"] == here["gid"]) & (F.col("c") != F.col("e")) & may_link("m", "u", "n", "s", num, den) & by_reference(num, den)).select("p", "d")
+            groups = C.materialise(here.join(minor.select("gid", F.col("p").alias("d")), ["gid", "d"], "left_anti").select("gid", "d", "n", "s", "ref", "o"))
         first = False
         some = some.select(F.least("p", "d").alias("a"), F.greatest("p", "d").alias("b")).filter("a <> b").distinct()
-        some = C.materialise(some.join(done, ["a", "b"], "left_anti"))
+        some = C.materialise(some.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
         if not some.isEmpty():
-            done = done.unionByName(some)
-            links = links.unionByName(verify(some, sets, num, den))
+            new = C.materialise(verify(some, sets, num, den))
+            checked = C.materialise(checked.unionByName(new))
+            links = links.unionByName(new.filter("link").select("a", "b"))
     placed = C.materialise(rows.join(found, "d", "left").select("doc_id", "n", F.coalesce("comp", "d").alias("c")))
     named = placed.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("least_id"))
     return placed.join(named, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"))
