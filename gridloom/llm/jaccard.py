@@ -471,6 +471,22 @@ def may_link(m: str, u: str, n: str, s: str, num: int, den: int) -> Column:
     return (F.least(m, n) * den >= F.greatest(m, n) * num) & (F.least(u, s) >= need)
 
 
+def shared_counts(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``d``, ``s``: how many shingles of each node occur in another of the ``nodes``.  Unlike the first
+    counts, which see copies of a document in other batches, these are over distinct sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d, own in zip(batch.column("d").to_pylist(), batch.column("own").to_pylist(), strict=True):
+                tokens = np.frombuffer(own, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), d)), pa.array(tokens)], names=["d", "t"])
+
+    tokens = C.materialise(sets.join(nodes.select("d").distinct(), "d", "left_semi").select("d", "own").mapInArrow(run, "d long, t long"))
+    common = tokens.groupBy("t").agg(F.count("*").alias("k")).filter("k > 1").select("t")
+    counted = tokens.join(common, "t", "left_semi").groupBy("d").agg(F.count("*").alias("s"))
+    return nodes.select("d").distinct().join(counted, "d", "left").select("d", F.coalesce("s", F.lit(0)).cast("long").alias("s"))
+
+
 def by_reference(num: int, den: int) -> Column:
     """Whether two sets that were compared with one reference can link: inside the reference they share
     at most the smaller overlap, outside it at most what the smaller rest shares with anything."""
@@ -509,7 +525,11 @@ def jaccard_groups(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = D
         found = components(links)
         links = found.select(F.col("d").alias("a"), F.col("comp").alias("b"))
         if base is not None:  # overlaps with a common reference bound those of other pairs
-            groups = base.join(references(checked), "d", "left").select("gid", "d", "n", "s", "ref", F.coalesce("o", F.when(F.col("ref") == F.col("d"), F.col("n"))).alias("o"))
+            refs = C.materialise(base.select("d").distinct().join(references(checked), "d"))
+            if not first:  # the references take part: a bound subtracts what lies inside them
+                nodes = base.select("d").union(refs.select("ref"))
+                base = base.drop("s").join(C.materialise(shared_counts(sets, nodes)), "d")
+            groups = C.materialise(base.join(refs, "d", "left").select("gid", "d", "n", "s", "ref", F.coalesce("o", F.when(F.col("ref") == F.col("d"), F.col("n"))).alias("o")))
             base = None
         here, tops = still_open(groups, found, num, den)
         if tops.isEmpty():
