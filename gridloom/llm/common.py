@@ -245,7 +245,9 @@ class WordMemo:
         return found
 
     def add(self, hashes: np.ndarray, ids: list[np.ndarray]) -> None:
-        """Put in distinct hashes that are not there yet; the caller leaves room (see ``room``)."""
+        """Put in distinct hashes that are not there yet; the caller leaves room (see ``room`` and ``slices``)."""
+        if self.held + len(hashes) > self.mask:  # a free slot must stay, or neither this nor ``find`` ends
+            raise ValueError("more words than the table has room for")
         size = np.array([len(x) for x in ids], np.int32)
         flat = np.concatenate(ids).astype(self.dtype, copy=False) if ids else np.zeros(0, self.dtype)
         start = self.used + np.cumsum(size) - size
@@ -266,6 +268,11 @@ class WordMemo:
     def room(self, n: int) -> bool:
         return self.held + n <= (1 << self.bits) * 0.6
 
+    def slices(self, n: int) -> Iterator[slice]:
+        """``n`` positions in slices that an empty table holds whatever their hashes are."""
+        step = max(1, 1 << self.bits - 1)
+        return (slice(a, min(a + step, n)) for a in range(0, n, step))
+
     def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words in a row, and where each word's begin (one more for the end)."""
         size = self.size[slots]
@@ -312,21 +319,27 @@ def tokens_of(buf: np.ndarray, offs: np.ndarray, memo: WordMemo, solve, first_di
     if first_differs:
         first[words.at[:-1][words.counts > 0]] = True
         hashed[first] = mix(hashed[first] + np.uint64(1)) | np.uint64(1)
-    slots = memo.find(hashed)
-    lost = np.flatnonzero(slots < 0)
-    if len(lost):
-        new, at = np.unique(hashed[lost], return_index=True)
-        if not memo.room(len(new)):
-            memo.clear()
-            new, lost = np.unique(hashed, return_index=True)
-        else:
-            lost = lost[at]
-        raw = buf.tobytes()
-        spell = [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[lost].tolist(), words.end[lost].tolist(), strict=True)]
-        memo.add(new, solve(spell, first[lost]))
-        slots = memo.find(hashed)
-    ids, ends = memo.gather(slots)
-    return ids, ends[words.at]
+    raw, parts, lengths = None, [np.zeros(0, memo.dtype)], [np.zeros(1, np.int64)]
+    for own in memo.slices(len(hashed)):
+        key = hashed[own]
+        slots = memo.find(key)
+        lost = np.flatnonzero(slots < 0)
+        if len(lost):
+            new, at = np.unique(key[lost], return_index=True)
+            if not memo.room(len(new)):
+                memo.clear()
+                new, lost = np.unique(key, return_index=True)
+            else:
+                lost = lost[at]
+            lost += own.start
+            raw = raw or buf.tobytes()
+            spell = [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[lost].tolist(), words.end[lost].tolist(), strict=True)]
+            memo.add(new, solve(spell, first[lost]))
+            slots = memo.find(key)
+        ids, ends = memo.gather(slots)
+        parts.append(ids)
+        lengths.append(np.diff(ends))
+    return np.concatenate(parts), np.cumsum(np.concatenate(lengths))[words.at]
 
 
 def signed(x: np.ndarray) -> np.ndarray:

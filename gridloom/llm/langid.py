@@ -108,21 +108,25 @@ class Scorer:
         """Code length in bits of each row in each language."""
         keys, offs = grams(buf, offs, self.trees.order)
         hashed = C.mix(keys) | ONE  # the table needs keys that are not 0
-        slots = self.memo.find(hashed)
-        lost = np.flatnonzero(slots < 0)
-        if len(lost):
-            new, at = np.unique(hashed[lost], return_index=True)
-            if not self.memo.room(len(new)):
-                self.memo.clear()
-                new, at = np.unique(hashed, return_index=True)
-                lost = np.arange(len(hashed))
-            self.memo.add(new, [np.zeros(0, np.int32)] * len(new))
-            self.costs[self.memo.find(new)] = self.trees.code_lengths(keys[lost[at]])
-            slots = self.memo.find(hashed)
+        costs = np.empty((len(keys), len(self.trees.names)), np.float32)
+        for own in self.memo.slices(len(keys)):
+            key, gram = hashed[own], keys[own]
+            slots = self.memo.find(key)
+            lost = np.flatnonzero(slots < 0)
+            if len(lost):
+                new, at = np.unique(key[lost], return_index=True)
+                if not self.memo.room(len(new)):
+                    self.memo.clear()
+                    new, at = np.unique(key, return_index=True)
+                    lost = np.arange(len(key))
+                self.memo.add(new, [np.zeros(0, np.int32)] * len(new))
+                self.costs[self.memo.find(new)] = self.trees.code_lengths(gram[lost[at]])
+                slots = self.memo.find(key)
+            costs[own] = self.costs[slots]
         out = np.zeros((len(offs) - 1, len(self.trees.names)))
         full = np.flatnonzero(np.diff(offs))
         if len(full):
-            out[full] = np.add.reduceat(self.costs[slots], offs[full], axis=0, dtype=np.float64)
+            out[full] = np.add.reduceat(costs, offs[full], axis=0, dtype=np.float64)
         return out
 
 
