@@ -401,6 +401,20 @@ def gram_matrix(spark, d):
     return spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(gram) for j, v in enumerate(row)], "i int, j int, gram double").withColumn("gram", r6("gram"))
 
 
+@query("column_covariance_whole")
+def column_covariance_whole(spark, d):
+    """All components; ``column_covariance`` has the first eight, as its SQL reads."""
+    cov = codebook.covariance(*codebook.moments(samples(spark, d)))
+    return spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(cov) for j, v in enumerate(row)], "i int, j int, cov double").withColumn("cov", r6("cov"))
+
+
+@query("gram_matrix_whole")
+def gram_matrix_whole(spark, d):
+    """All components; ``gram_matrix`` has the first eight, as its SQL reads."""
+    _, _, gram = codebook.moments(samples(spark, d))
+    return spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(gram) for j, v in enumerate(row)], "i int, j int, gram double").withColumn("gram", r6("gram"))
+
+
 @query("global_std", "SELECT round(stddev_samp(v), 6) AS sd FROM (SELECT unnest(embedding)::DOUBLE AS v FROM embeddings)")
 def global_std(spark, d):
     return samples(spark, d).select(F.explode("features").alias("v")).agg(r6(F.stddev_samp("v")).alias("sd"))
