@@ -548,17 +548,20 @@ def local_mean(spark, d):
 
 @query("local_ols")
 def local_ols(spark, d):
-    rows = collected(spark, d, "bmu_neighborhood_knn").withColumn("features", F.slice("features", 1, 4))
+    rows = collected(spark, d, "bmu_neighborhood_knn")
     return retrieval.local_ols(rows, "features", "output").withColumn("coef", F.transform("coef", lambda c: F.round(c, 6)))
 
 
 # ---- clustering and its scores: G7-G14, F18-F26
 
 
-def labelled(spark: SparkSession, d: str) -> DataFrame:
-    """The codebook's neurons, clustered by rows of the grid; one neuron is noise."""
+def labelled(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """The codebook's neurons, clustered by rows of the grid; one neuron is noise.
+
+    Features are the first eight components, as the SQL reads, or all of them.
+    """
     label = F.when(F.col("neuron_id") == 7, -1).otherwise(F.expr("cast(row div 2 as int)"))
-    return book(spark, d).select(F.col("neuron_id").alias("id"), "row", "col", label.alias("label"), F.slice("w", 1, 8).alias("features"))
+    return book(spark, d).select(F.col("neuron_id").alias("id"), "row", "col", label.alias("label"), (F.col("w") if whole else F.slice("w", 1, 8)).alias("features"))
 
 
 SQL_P = f"WITH {sql_cb()}, p AS (SELECT nid AS id, r, c, (r // 2)::INTEGER AS label, w[1:8] AS f FROM cb WHERE nid <> 7)"
@@ -616,9 +619,21 @@ def cluster_centers(spark, d):
     return scores.centers(labelled(spark, d)).select("label", "n", F.posexplode("center").alias("feature", "value")).withColumn("value", r6("value"))
 
 
-def clustered(spark: SparkSession, d: str, method: str, k: int | None = None, **options) -> DataFrame:
-    weights = codebook_array(book(spark, d, 8, 6).withColumn("w", F.slice("w", 1, 4)))
-    return clustering.cluster(spark, weights, method, k, **options).table(spark, 6)
+for _score in ("silhouette", "davies_bouldin", "calinski_harabasz"):
+
+    @query(f"{_score}_whole")
+    def _whole(spark, d, name=_score):
+        return getattr(scores, name)(labelled(spark, d, whole=True)).select(r6(name).alias(name))
+
+
+@query("cluster_centers_whole")
+def cluster_centers_whole(spark, d):
+    return scores.centers(labelled(spark, d, whole=True)).select("label", "n", F.posexplode("center").alias("feature", "value")).withColumn("value", r6("value"))
+
+
+def clustered(spark: SparkSession, d: str, method: str, k: int | None = None, x: int = 8, y: int = 6, **options) -> DataFrame:
+    weights = codebook_array(book(spark, d, x, y))
+    return clustering.cluster(spark, weights, method, k, **options).table(spark, y)
 
 
 @query("cluster_kmeans")
@@ -631,6 +646,12 @@ def cluster_gmm(spark, d):
     return clustered(spark, d, "gmm", 2)
 
 
+@query("cluster_gmm_large")
+def cluster_gmm_large(spark, d):
+    """More neurons than components, so that the covariances have full rank."""
+    return clustered(spark, d, "gmm", 2, x=20, y=20)
+
+
 @query("cluster_hdbscan")
 def cluster_hdbscan(spark, d):
     return clustered(spark, d, "hdbscan", min_cluster_size=3)
@@ -638,7 +659,7 @@ def cluster_hdbscan(spark, d):
 
 @query("auto_k")
 def auto_k(spark, d):
-    weights = codebook_array(book(spark, d).withColumn("w", F.slice("w", 1, 4)))
+    weights = codebook_array(book(spark, d))
     curve = clustering.inertia_curve(spark, weights, 5, starts=2)
     return clustering.inertia_table(spark, curve).withColumns({"inertia": F.round("inertia", 6), "is_elbow": F.col("k") == clustering.elbow_of(curve)})
 
