@@ -2,37 +2,87 @@
 
 The byte kernels work on whole Arrow buffers: a text column is cut into blocks of rows of at most
 ``BLOCK_BYTES`` (a longer text is a block of its own), words are found with one table look-up per
-byte, and every word gets a 64-bit polynomial hash from one wrapped cumulative sum.  Memory is a
-small multiple of the block, whatever the batch or table holds.
+byte, and every word gets a 64-bit hash from eight bytes at a time, each mixed into what came before;
+long words are finished by a keyed BLAKE2.  Memory is a small multiple of the block, whatever the
+batch or table holds.  Equal hashes of different words have a chance of about n**2 / 2**65 among n
+words: callers either compare bytes where hashes agree or say what an equality would cost.
 """
 
 from __future__ import annotations
 
 import atexit
+import ctypes
+import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from gridloom.session import ship
 
 BLOCK_BYTES = 1 << 20
+#: Arrow batches are bounded in bytes too: 10,000 rows of long texts would not fit beside a task.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+ARROW_DEFAULT = "67108864b"  # Spark's own
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` with batches bounded in bytes and memory given back when a task ends.
+
+    The bound is a setting of the session; one that the user chose stays.
+    """
+    spark = ship(df.sparkSession)
+    if spark.conf.get(ARROW_BYTES) == ARROW_DEFAULT:
+        spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return df.mapInArrow(tidied, schema)
+
+
+def tidy() -> None:
+    """Give memory that is free back to the system: workers are used again and again."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+_held: dict[str, object] = {}
+
+
+def held(key: str, build: Callable[[], object]):
+    """What ``build`` gives, kept in this worker until another operator's call needs the place."""
+    if key not in _held:
+        _held.clear()
+        tidy()
+        _held[key] = build()
+    return _held[key]
+
+
 # --------------------------------------------------------------------------- shared folder
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset on a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -50,6 +100,28 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """How many tables have been written so far, for ``release``."""
+    return len(_written)
+
+
+def release(since: int, keep: int = 1) -> None:
+    """Delete the tables written since a ``mark`` but the last ``keep``: nothing reads them any more."""
+    done = _written[since : len(_written) - keep]
+    del _written[since : len(_written) - keep]
+    for spark, path in done:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session may be gone at exit; the folder is temporary anyway
+        pass
+
+
 def cleanup(spark: SparkSession | None = None) -> None:
     """Delete the tables that ``materialise`` wrote; call it once their readers are done."""
     kept = []
@@ -57,12 +129,7 @@ def cleanup(spark: SparkSession | None = None) -> None:
         if spark is not None and own is not spark:
             kept.append((own, path))
             continue
-        try:
-            jvm = own._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(own._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session may be gone at exit; the folder is temporary anyway
-            pass
+        _delete(own, path)
     _written[:] = kept
 
 
@@ -96,27 +163,6 @@ def alnum_words() -> np.ndarray:
     return own
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C13)  # odd, 3 modulo 8
-_rng = np.random.default_rng(20240607)
-_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_CASED = _CODE.copy()
-_CODE = _CODE[LOWER]  # A-Z count as a-z
-_pow: np.ndarray = np.ones(1, dtype=np.uint64)
-_inv: np.ndarray = np.ones(1, dtype=np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _pow, _inv
-    if len(_pow) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        with np.errstate(over="ignore"):
-            for_, back = np.full(size, _BASE, dtype=np.uint64), np.full(size, inverse, dtype=np.uint64)
-            for_[0] = back[0] = 1
-            _pow, _inv = np.cumprod(for_), np.cumprod(back)
-    return _pow, _inv
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, in place of a weak low half."""
     with np.errstate(over="ignore"):
@@ -155,6 +201,14 @@ def blocks(column: pa.Array, limit: int = 0) -> Iterator[tuple[int, int, np.ndar
         first = end
 
 
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+LANES = 8  # of eight bytes that a word's hash takes in before the rest is hashed as a whole
+
+
+def whiten(seed: int) -> np.uint64:
+    return mix(np.array([seed & 0xFFFFFFFFFFFFFFFF], np.uint64) + np.uint64(0x9E3779B97F4A7C15))[0]
+
+
 class Words:
     """The words of a block: byte ranges ``start``/``end``, each row's first word ``at`` and hashes."""
 
@@ -172,13 +226,24 @@ class Words:
         self.at = np.searchsorted(start, offs, "left")
         self.counts = np.diff(self.at)
 
-    def hashes(self, cased: bool = False) -> np.ndarray:
-        n = len(self.buf)
-        power, inverse = _powers(n + 1)
+    def hashes(self, cased: bool = False, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word (A-Z as a-z unless ``cased``) under a seed of the caller's job."""
+        own, size = np.zeros(len(self.buf) + 8, np.uint8), self.end - self.start
+        own[: len(self.buf)] = self.buf if cased else LOWER[self.buf]
+        lanes = np.ndarray((len(self.buf) + 1,), "<u8", buffer=own, strides=(1,))
         with np.errstate(over="ignore"):
-            total = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum((_CASED if cased else _CODE)[self.buf] * power[:n], out=total[1:])
-            return mix((total[self.end] - total[self.start]) * inverse[self.start])
+            out = mix(size.astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + whiten(seed))
+            at = np.arange(len(size))
+            for k in range(LANES):
+                if not len(at):
+                    break
+                part = lanes[self.start[at] + 8 * k] & _LANE[np.minimum(size[at] - 8 * k, 8)]
+                out[at] = mix(out[at] ^ part)
+                at = at[size[at] > 8 * (k + 1)]
+        for i in at.tolist():  # words of over 64 bytes
+            rest = hashlib.blake2b(own[self.start[i] + 8 * LANES : self.end[i]].tobytes(), digest_size=8, key=int(out[i]).to_bytes(8, "little"))
+            out[i] = int.from_bytes(rest.digest(), "little")
+        return out
 
     def normal(self, first: int, count: int) -> bytes:
         """Words first.. as lower-cased bytes with single spaces."""
@@ -202,9 +267,9 @@ def windows(word_hash: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
-def shingles(words: Words, k: int) -> Iterator[np.ndarray]:
+def shingles(words: Words, k: int, seed: int = 0) -> Iterator[np.ndarray]:
     """Each row's sorted distinct k-word shingles; the whole sequence as one where it is shorter."""
-    hashed = words.hashes()
+    hashed = words.hashes(seed=seed)
     full = windows(hashed, k)
     for a, n in zip(words.at[:-1].tolist(), words.counts.tolist(), strict=True):
         if n >= k:
@@ -219,7 +284,8 @@ class WordMemo:
     """Token ids of words by their 64-bit hash: an open-addressing table over one id array.
 
     Everything works on arrays of hashes.  The table starts anew when it is full, so its memory is
-    bounded by ``bits``; equal hashes of different words are as unlikely as 2**-64 for each pair.
+    bounded by ``bits``.  Words are not compared here: who uses the ids spells them and compares the
+    text (see ``Spelling``).
     """
 
     def __init__(self, bits: int = 20, dtype=np.int32):
@@ -342,6 +408,31 @@ def tokens_of(buf: np.ndarray, offs: np.ndarray, memo: WordMemo, solve, first_di
     return np.concatenate(parts), np.cumsum(np.concatenate(lengths))[words.at]
 
 
+class Spelling:
+    """The bytes of token ids, all ids of a block at once."""
+
+    def __init__(self, out: list[bytes]):
+        self.size = np.array([len(x) for x in out], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(out), np.uint8)
+
+    def spell(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids in a row, and where each id's begin (one more for the end)."""
+        size = self.size[ids]
+        ends = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+        return self.bytes[np.repeat(self.start[ids] - ends[:-1], size) + np.arange(ends[-1])], ends
+
+
+def same_rows(got: np.ndarray, begin: np.ndarray, end: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Whether row k of ``got`` (its bytes from ``begin`` to ``end``) equals row k of the block."""
+    same = end - begin == np.diff(offs)
+    if same.all() and len(got) == len(buf) and np.array_equal(got, buf):
+        return same
+    for k in np.flatnonzero(same).tolist():
+        same[k] = np.array_equal(got[begin[k] : end[k]], buf[offs[k] : offs[k + 1]])
+    return same
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

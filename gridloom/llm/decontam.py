@@ -139,7 +139,7 @@ def find_leaks(docs: DataFrame, bench: DataFrame, n: int = 10, max_broadcast_byt
             own = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(who, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, *RESULT.names])
 
-    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, *RESULT.fields]))
+    return C.map_arrow(rest, run, T.StructType([*rest.schema.fields, *RESULT.fields]))
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 10, remove: str = "document", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
@@ -177,7 +177,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 10, remove: str =
                     text[row] = new
                 yield batch.set_column(place, batch.schema.field(place), pa.array(text, batch.schema.field(place).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return C.map_arrow(docs, run, docs.schema)
 
 
 def without(words: C.Words, hit: np.ndarray, row: int) -> str:
@@ -240,7 +240,7 @@ def leaks_by_join(docs: DataFrame, bench: DataFrame, n: int = 10) -> DataFrame:
 
     key = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), key.alias("key")).dropDuplicates(["key"])
-    seen = C.materialise(texts.mapInArrow(of_texts, window).select("size", "place", "at", "gram", "key"))
+    seen = C.materialise(C.map_arrow(texts, of_texts, window).select("size", "place", "at", "gram", "key"))
     hits = seen.filter("size > 0").join(known.select("size", "gram", "item_id"), ["size", "gram"])
     spans = hits.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("hit_items"), F.collect_set(F.struct("at", "size")).alias("spans"))
     words = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1)))))

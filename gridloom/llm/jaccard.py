@@ -14,22 +14,30 @@ one node (the set's digest), so copies meet only there.  The join then goes:
    by length, position, and how many of their shingles occur elsewhere at all.  Groups of three or
    more are kept for step 5.
 4. A pair's suffixes are bounded by cell counts of both sets; what remains is verified once per pair
-   on the whole sets, which are gathered only for nodes that may be in a pair.
-5. Components of the verified links are found by alternating large and small stars.  Groups whose
-   members lie in several components are taken up again: first each component's representative
-   meets the largest component's, then every member outside the largest component meets the whole
-   group, ``PIVOTS`` members of a group at a time, until no group spans two components unchecked.
-   Pairs that the sizes rule out or that were verified before are left out.  So every pair of
-   different components that shares a prefix shingle is decided, and no link is lost, yet near
-   copies cost a few pairs each.
+   on the whole sets, which are gathered only for nodes that may be in a pair.  Components of the
+   verified links are found by alternating large and small stars.
+5. Groups whose members lie in several components are open.  Each gets a reference, the node that
+   most of its members met, and every member is written as its difference from the reference: a
+   shingles of it missing, b others added.  With ``g = den * a + num * b`` and K = (den - num) times
+   the reference's size, two members link exactly if ``(num + den) * x >= g + g' - K``, where x counts
+   what their differences share; a member links with the reference if g <= K.  Two members that both
+   do are in one component, so one of any pair left has g > K, and then x must be at least a share of
+   both differences.  That is a join with rare-first prefixes of its own, over differences: what the
+   members of a group of near copies have in common is not in them, so its pairs follow what
+   members share beyond the group, not the square of its size.  The pairs found are verified like
+   the first, and the components of all links are the result.
 
 Two sets link when ``den * overlap >= num * union``.  Null texts and texts without words have empty
-sets and link with nothing.  Repeated rows and ids are rows of their own.  Equal 64-bit hashes of
-different shingles or sets are as unlikely as 2**-64 for a pair.
+sets and link with nothing; an empty table gives no rows.  Repeated rows and ids are rows of their own,
+and of tied ids the texts' hashes decide.  A very long text is one set like any other.  Columns other
+than ``doc_id`` and ``text`` are not read.  Shingles and sets are known by 64-bit hashes under a random
+seed of each call; among n of them an equality has a chance of about n**2 / 2**65, and would shift
+an overlap by one (shingles) or join two documents (sets).
 """
 
 from __future__ import annotations
 
+import secrets
 import zlib
 from collections.abc import Iterator
 
@@ -43,10 +51,10 @@ from gridloom.llm import common as C
 
 WORDS = 5
 NUM, DEN = 75, 100
-BATCH_TOKENS = 1 << 21
-BUCKET_TOKENS = 1 << 21
+BATCH_TOKENS = 1 << 20
+BUCKET_TOKENS = 1 << 20
 SALT_ROWS = 1 << 16
-PIVOTS = 1024
+REFERENCE_ROWS = 256  # members that meet one copy of their reference's set
 FILTER_BITS = 26
 SUFFIX_CELLS = 256
 BROADCAST_IDS = 1_000_000  # ids of 8 bytes; more are joined by shuffle
@@ -60,9 +68,9 @@ def digest(own: np.ndarray) -> int:
         return int(C.signed(C.mix(x[:1] + x[1:] * np.uint64(0xBF58476D1CE4E5B9)))[0])
 
 
-def sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
+def sets_of(column: pa.Array, k: int, seed: int = 0) -> Iterator[np.ndarray]:
     for _, _, buf, offs, _ in C.blocks(column):
-        yield from C.shingles(C.Words(buf, offs, OWN), k)
+        yield from C.shingles(C.Words(buf, offs, OWN), k, seed)
 
 
 def least_overlap(a, b, num: int = NUM, den: int = DEN):
@@ -91,11 +99,11 @@ def unplanes(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(flat).view("<u4").ravel(), dtype=np.uint32)
 
 
-SCAN = "bucket int, batch long, doc_id long, d long, n long, shingle binary, times binary, owner binary"
-SCAN_ARROW = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("doc_id", pa.int64()), ("d", pa.int64()), ("n", pa.int64()), ("shingle", pa.binary()), ("times", pa.binary()), ("owner", pa.binary())])
+SCAN = "bucket int, batch long, doc_id long, key long, d long, n long, shingle binary, times binary, owner binary"
+SCAN_ARROW = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("d", pa.int64()), ("n", pa.int64()), ("shingle", pa.binary()), ("times", pa.binary()), ("owner", pa.binary())])
 
 
-def scan_shingles(docs: DataFrame, buckets: int, k: int) -> DataFrame:
+def scan_shingles(docs: DataFrame, buckets: int, k: int, seed: int) -> DataFrame:
     """The one scan of all texts, as rows to be shuffled by ``bucket``.
 
     For each document its id, digest and set size.  For each batch of documents (``shingle`` is null:
@@ -130,7 +138,7 @@ def scan_shingles(docs: DataFrame, buckets: int, k: int) -> DataFrame:
 
         for batch in batches:
             ids, lengths = [], []
-            for own in sets_of(batch.column("text"), k):
+            for own in sets_of(batch.column("text"), k, seed):
                 d = digest(own) if len(own) else None
                 ids.append(d)
                 lengths.append(len(own))
@@ -149,14 +157,14 @@ def scan_shingles(docs: DataFrame, buckets: int, k: int) -> DataFrame:
             n = batch.num_rows
             spread = pa.array((np.arange(n) + number) % buckets, pa.int32())
             none = pa.nulls(n, pa.binary())
-            yield pa.RecordBatch.from_arrays([spread, pa.nulls(n, pa.int64()), batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), none, none, none], schema=SCAN_ARROW)
+            yield pa.RecordBatch.from_arrays([spread, pa.nulls(n, pa.int64()), batch.column("doc_id"), batch.column("key"), pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), none, none, none], schema=SCAN_ARROW)
         if held:
             yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCAN)
+    return C.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text"), run, SCAN)
 
 
-COUNTED = "batch long, doc_id long, d long, n long, shingle binary, times binary, owner binary"
+COUNTED = "batch long, doc_id long, key long, d long, n long, shingle binary, times binary, owner binary"
 COUNTED_ARROW = pa.schema(list(SCAN_ARROW)[1:])
 MANY = 0xFFFFFFFF
 
@@ -206,7 +214,7 @@ def count_shingles(scanned: DataFrame, spread: int) -> DataFrame:
         if held:
             yield from answer()
 
-    return scanned.repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(run, COUNTED)
+    return C.map_arrow(scanned.repartition(spread, "bucket").sortWithinPartitions("bucket"), run, COUNTED)
 
 
 POSTED = "bucket int, shingle binary, place binary, run binary, node binary, size binary, shared binary, weight binary"
@@ -261,7 +269,7 @@ def post(counted: DataFrame, spread: int, buckets: int, num: int, den: int) -> D
         if held:
             yield from prefixes()
 
-    return counted.filter("batch is not null").repartition(spread, "batch").sortWithinPartitions("batch").mapInArrow(run, POSTED)
+    return C.map_arrow(counted.filter("batch is not null").repartition(spread, "batch").sortWithinPartitions("batch"), run, POSTED)
 
 
 def packed(s, at, d, n, shared, weight, buckets: int) -> pa.RecordBatch:
@@ -323,7 +331,7 @@ def meet(posted: DataFrame, spread: int, num: int, den: int) -> DataFrame:
         if held:
             yield from joined(held, num, den)
 
-    return posted.repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "gid long, a long, b long, n long, s long")
+    return C.map_arrow(posted.repartition(spread, "bucket").sortWithinPartitions("bucket"), run, "gid long, a long, b long, n long, s long")
 
 
 def joined(held: list[list], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -370,7 +378,7 @@ def joined(held: list[list], num: int, den: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(gids[i : i + (1 << 16)]), pa.array(node[part]), pa.nulls(len(part), pa.int64()), pa.array(size[part]), pa.array(shared[part])], names=names)
 
 
-def gather_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+def gather_sets(docs: DataFrame, nodes: DataFrame, k: int, seed: int) -> DataFrame:
     """``d`` and ``own`` (sorted hashes as bytes) of the nodes.
 
     A bitmap of 2**FILTER_BITS bits at most tells the scan which sets may be wanted; it never loses one.
@@ -388,7 +396,7 @@ def gather_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
         bitmap, seen = np.frombuffer(zlib.decompress(shared.value), np.uint8), set()
         for batch in batches:
             ids, blobs = [], []
-            for own in sets_of(batch.column("text"), k):
+            for own in sets_of(batch.column("text"), k, seed):
                 if not len(own):
                     continue
                 d = digest(own)
@@ -401,7 +409,7 @@ def gather_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                     blobs.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["d", "own"])
 
-    found = docs.select("text").mapInArrow(run, "d long, own binary")
+    found = C.map_arrow(docs.select("text"), run, "d long, own binary")
     return C.materialise(found.dropDuplicates(["d"]).join(nodes, "d", "left_semi"))
 
 
@@ -410,36 +418,21 @@ def cells(own: np.ndarray) -> np.ndarray:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``a``, ``b`` with ``link``, and ``o``, their overlap (null where it is far too small)."""
+    """The pairs ``a``, ``b`` with ``link``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            links, overlaps = [], []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            links = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 need = least_overlap(len(p), len(q), num, den)
                 most = int(np.minimum(cells(p), cells(q)).sum())  # the suffix filter
-                o = len(np.intersect1d(p, q, assume_unique=True)) if 2 * most >= need else None
-                links.append(o is not None and o >= need)
-                overlaps.append(o)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(overlaps, pa.int64()), pa.array(links, pa.bool_())], names=["a", "b", "o", "link"])
+                links.append(most >= need and len(np.intersect1d(p, q, assume_unique=True)) >= need)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(links, pa.bool_())], names=["a", "b", "link"])
 
     with_a = pairs.join(sets.select(F.col("d").alias("a"), F.col("own").alias("x")), "a")
     both = with_a.join(sets.select(F.col("d").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a long, b long, o long, link boolean")
-
-
-def references(checked: DataFrame) -> DataFrame:
-    """``d``, ``ref``, ``o``: of the nodes that each node was compared with, the one with most
-    comparisons, and the overlap; the node itself (``o`` null) where it has the most."""
-    both = checked.filter("o is not null").select("a", "b", "o")
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "o"))
-    degree = both.groupBy("a").agg(F.count("*").alias("k"))
-    other = degree.select(F.col("a").alias("b"), F.col("k").alias("bk"))
-    best = both.join(other, "b").groupBy("a").agg(F.max(F.struct("bk", "b", "o")).alias("m"))
-    own = F.struct(F.col("k").alias("bk"), F.col("a").alias("b"))
-    first = F.struct(F.col("m.bk").alias("bk"), F.col("m.b").alias("b"))
-    return best.join(degree, "a").select(F.col("a").alias("d"), F.when(own > first, F.col("a")).otherwise(F.col("m.b")).alias("ref"), F.when(own > first, None).otherwise(F.col("m.o")).alias("o"))
+    return C.map_arrow(both, run, "a long, b long, link boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -465,110 +458,128 @@ def components(edges: DataFrame) -> DataFrame:
         now = C.materialise(pick(small))
 
 
-def may_link(m: str, u: str, n: str, s: str, num: int, den: int) -> Column:
-    """Whether sets of sizes ``m`` and ``n`` of which ``u`` and ``s`` shingles occur elsewhere can link."""
-    need = F.ceil((F.col(m) + F.col(n)) * num / (num + den))
-    return (F.least(m, n) * den >= F.greatest(m, n) * num) & (F.least(u, s) >= need)
-
-
-def shared_counts(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``d``, ``s``: how many shingles of each node occur in another of the ``nodes``.  Unlike the first
-    counts, which see copies of a document in other batches, these are over distinct sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for d, own in zip(batch.column("d").to_pylist(), batch.column("own").to_pylist(), strict=True):
-                tokens = np.frombuffer(own, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), d)), pa.array(tokens)], names=["d", "t"])
-
-    tokens = C.materialise(sets.join(nodes.select("d").distinct(), "d", "left_semi").select("d", "own").mapInArrow(run, "d long, t long"))
-    common = tokens.groupBy("t").agg(F.count("*").alias("k")).filter("k > 1").select("t")
-    counted = tokens.join(common, "t", "left_semi").groupBy("d").agg(F.count("*").alias("s"))
-    return nodes.select("d").distinct().join(counted, "d", "left").select("d", F.coalesce("s", F.lit(0)).cast("long").alias("s"))
+def open_groups(groups: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
+    """``gid``, ``d``, ``c``: the members, with their components, of groups that span several, without
+    members that can link with no size in their group."""
+    least = groups.groupBy("gid").agg(F.min("n").alias("low"))
+    partner = F.greatest("low", F.ceil(F.col("n") * num / den))
+    able = groups.join(least, "gid").filter(F.col("s") >= F.ceil((F.col("n") + partner) * num / (num + den)))
+    here = C.materialise(able.join(found, "d", "left").select("gid", "d", F.coalesce("comp", "d").alias("c")))
+    parted = here.groupBy("gid").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("gid")
+    return here.join(parted, "gid", "left_semi")
 
 
-def by_reference(num: int, den: int) -> Column:
-    """Whether two sets that were compared with one reference can link: inside the reference they share
-    at most the smaller overlap, outside it at most what the smaller rest shares with anything."""
-    most = F.least("v", "o") + F.least(F.col("u") - F.col("v"), F.col("s") - F.col("o"))
-    need = F.ceil((F.col("m") + F.col("n")) * num / (num + den))
-    return F.coalesce((F.col("via") != F.col("ref")) | (most >= need), F.lit(True))
+def with_reference(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``ref``, ``d``, ``c``, once each: a group's reference is that of its members' partners, or of
+    themselves, which is in most pairs."""
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = both.groupBy("a").agg(F.count("*").alias("k"))
+    other = degree.select(F.col("a").alias("b"), "k")
+    best = both.join(other, "b").groupBy("a").agg(F.max(F.struct("k", "b")).alias("m"))
+    own = best.join(degree, "a").select(F.col("a").alias("d"), F.greatest("m", F.struct("k", F.col("a").alias("b"))).alias("m"))
+    met = members.join(own, "d", "left").select("gid", "d", "c", F.coalesce("m", F.struct(F.lit(0).cast("long").alias("k"), F.col("d").alias("b"))).alias("m"))
+    met = C.materialise(met)
+    refs = met.groupBy("gid").agg(F.max("m").alias("r")).select("gid", F.col("r.b").alias("ref"))
+    return C.materialise(met.join(refs, "gid").select("ref", "d", "c").distinct())
 
 
-def still_open(groups: DataFrame, found: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Members with their component, without those that can link with no size in their group, and each
-    group of several components with its largest one and that one's representative."""
-    here = groups.join(found, "d", "left").select("gid", "d", "n", "s", "ref", "o", F.coalesce("comp", "d").alias("c"))
-    least = here.groupBy("gid").agg(F.min("n").alias("low"))
-    partner = F.greatest("low", F.ceil(F.col("n") * num / den))
-    here = here.join(least, "gid").filter(F.col("s") >= F.ceil((F.col("n") + partner) * num / (num + den))).drop("low")
-    per = here.groupBy("gid", "c").agg(F.count("*").alias("k"), F.max(F.struct("s", "d", "n")).alias("r"))
-    tops = per.groupBy("gid").agg(F.count("*").alias("parts"), F.max(F.struct("k", "c", "r")).alias("top")).filter("parts > 1")
-    tops = C.materialise(tops.select("gid", F.col("top.c").alias("main"), F.col("top.r").alias("r0")))
-    return here, tops
+def differences(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Each member's difference from its reference: ``g``, ``limit`` (K), its size ``m`` and shingles ``t``.
 
+    A reference of many members is copied, so that they need not meet in one task.
+    """
 
-def jaccard_groups(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` for each row of ``docs`` (``doc_id``, ``text``)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g, limit, m, t = [], [], [], []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                own, ref = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                less, more = np.setdiff1d(ref, own, assume_unique=True), np.setdiff1d(own, ref, assume_unique=True)
+                g.append(den * len(less) + num * len(more))
+                limit.append((den - num) * len(ref))
+                m.append(len(less) + len(more))
+                t.append(C.signed(np.concatenate((less, more))))
+            ends = np.concatenate(([0], np.cumsum(m))).astype(np.int32)
+            flat = pa.array(np.concatenate(t) if t else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("ref", "d", "c")), *(pa.array(x, pa.int64()) for x in (g, limit, m)), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["ref", "d", "c", "g", "limit", "m", "t"])
+
+    parts = members.groupBy("ref").agg(F.expr(f"int(count(*) div {REFERENCE_ROWS}) + 1").alias("parts"))
+    copies = parts.join(sets, parts["ref"] == sets["d"]).select("ref", F.col("own").alias("y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = members.join(parts, "ref").withColumn("part", F.pmod(F.xxhash64("d"), F.col("parts")).cast("int"))
+    both = dealt.join(sets.select("d", F.col("own").alias("x")), "d").join(copies, ["ref", "part"]).select("ref", "d", "c", "x", "y")
+    return C.materialise(C.map_arrow(both, run, "ref long, d long, c long, g long, limit long, m long, t array<long>"))
+
+
+def pairs_of_differences(diff: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs ``a`` < ``b`` of different components that may link, by prefixes of their differences."""
+    far = F.col("g") > F.col("limit")  # not linked with the reference
+    asked = diff.filter(far).select("ref").distinct()
+    diff = diff.withColumn("far", far).join(asked, "ref", "left_semi")
+    token = diff.select("ref", "d", "c", "g", "limit", "m", "far", F.explode("t").alias("t"))
+    counts = token.groupBy("ref", "t").agg(F.count("*").alias("k"), F.max("far").alias("any")).filter("k > 1 and any").select("ref", "t", "k")
+    known = token.join(counts, ["ref", "t"]).groupBy("ref", "d", "c", "g", "limit", "m", "far").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("ts"))
+    # all that a difference must share with another: with one of g > K, or, if its own g is, with any
+    least = F.when(F.col("far"), F.ceil((F.col("g") - F.col("limit")) / den)).otherwise(F.ceil((F.col("g") + 1) / (num + den)))
+    known = known.withColumn("s", F.size("ts").cast("long")).withColumn("lead", F.col("m") - F.col("s"))
+    first = F.slice("ts", 1, F.greatest(F.col("m") - least + 1 - F.col("lead"), F.lit(0)).cast("int"))
+    posted = known.select("ref", "d", "c", "g", "limit", "m", "far", "s", "lead", F.posexplode(first).alias("at", "x"))
+    posted = C.materialise(posted.select("ref", F.col("x.t").alias("t"), "d", "c", "g", "limit", "m", "far", "s", (F.col("lead") + F.col("at")).alias("at")))
+    p, q = posted.filter("far").alias("p"), posted.alias("q")
+    most = F.least("p.s", "q.s", F.least("p.at", "q.at") + F.least(F.col("p.m") - F.col("p.at"), F.col("q.m") - F.col("q.at")))
+    may = (F.col("p.c") != F.col("q.c")) & (~F.col("q.far") | (F.col("p.d") < F.col("q.d"))) & (most * (num + den) >= F.col("p.g") + F.col("q.g") - F.col("p.limit"))
+    met = p.join(q, (F.col("p.ref") == F.col("q.ref")) & (F.col("p.t") == F.col("q.t")) & may)
+    return met.select(F.least("p.d", "q.d").alias("a"), F.greatest("p.d", "q.d").alias("b")).distinct()
+
+
+def placed_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``doc_id``, ``key`` (the text's hash), ``n`` and ``c`` (component; null for empty sets) of each row."""
+    seed, mark = secrets.randbits(64), C.mark()
     buckets = token_buckets(docs)
     spread = max(8, min(buckets, 2000))
-    counted = C.materialise(count_shingles(scan_shingles(docs, buckets, k), spread))
-    rows = counted.filter("batch is null").select("doc_id", "d", "n")
+    counted = C.materialise(count_shingles(scan_shingles(docs, buckets, k, seed), spread))
+    rows = counted.filter("batch is null").select("doc_id", "key", "d", "n")
     met = C.materialise(meet(post(counted, spread, buckets, num, den), spread, num, den))
     pairs = C.materialise(met.filter("gid is null").select("a", "b").distinct())
     groups = C.materialise(met.filter("gid is not null").select("gid", F.col("a").alias("d"), "n", "s").distinct())
     nodes = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).union(groups.select("d")).distinct()
-    sets = gather_sets(docs, nodes, k)
-    checked = C.materialise(verify(pairs, sets, num, den))
-    links, first, base = checked.filter("link").select("a", "b"), True, groups
-    while True:
-        found = components(links)
-        links = found.select(F.col("d").alias("a"), F.col("comp").alias("b"))
-        if base is not None:  # overlaps with a common reference bound those of other pairs
-            refs = C.materialise(base.select("d").distinct().join(references(checked), "d"))
-            if not first:  # the references take part: a bound subtracts what lies inside them
-                nodes = base.select("d").union(refs.select("ref"))
-                base = base.drop("s").join(C.materialise(shared_counts(sets, nodes)), "d")
-            groups = C.materialise(base.join(refs, "d", "left").select("gid", "d", "n", "s", "ref", F.coalesce("o", F.when(F.col("ref") == F.col("d"), F.col("n"))).alias("o")))
-            base = None
-        here, tops = still_open(groups, found, num, den)
-        if tops.isEmpty():
-            break
-        here = C.materialise(here.join(tops, "gid"))
-        other = here.filter("c <> main")
-        if first:
-            some = other.groupBy("gid", "c", "r0").agg(F.max(F.struct("s", "d", "n")).alias("r")).select(F.col("r.d").alias("p"), F.col("r0.d").alias("d"))
-            base = here.select("gid", "d", "n", "s")
-        else:
-            order = Window.partitionBy("gid").orderBy("d")
-            minor = C.materialise(other.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= PIVOTS).select("gid", F.col("d").alias("p"), F.col("n").alias("m"), F.col("s").alias("u"), F.col("c").alias("e"), F.col("ref").alias("via"), F.col("o").alias("v")))
-            some = minor.join(here, (minor["gid"] == here["gid"]) & (F.col("c") != F.col("e")) & may_link("m", "u", "n", "s", num, den) & by_reference(num, den)).select("p", "d")
-            groups = C.materialise(here.join(minor.select("gid", F.col("p").alias("d")), ["gid", "d"], "left_anti").select("gid", "d", "n", "s", "ref", "o"))
-        first = False
-        some = some.select(F.least("p", "d").alias("a"), F.greatest("p", "d").alias("b")).filter("a <> b").distinct()
-        some = C.materialise(some.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
-        if not some.isEmpty():
-            new = C.materialise(verify(some, sets, num, den))
-            checked = C.materialise(checked.unionByName(new))
-            links = links.unionByName(new.filter("link").select("a", "b"))
-    placed = C.materialise(rows.join(found, "d", "left").select("doc_id", "n", F.coalesce("comp", "d").alias("c")))
+    sets = gather_sets(docs, nodes, k, seed)
+    links = C.materialise(verify(pairs, sets, num, den)).filter("link").select("a", "b")
+    found = components(links)
+    still = C.materialise(open_groups(groups, found, num, den))
+    if not still.isEmpty():
+        diff = differences(with_reference(still, pairs), sets, num, den)
+        near = diff.filter("g <= limit and d <> ref").select(F.least("d", "ref").alias("a"), F.greatest("d", "ref").alias("b"))
+        more = C.materialise(pairs_of_differences(diff, num, den))
+        checked = verify(more, sets, num, den).filter("link").select("a", "b")
+        found = components(found.select(F.col("d").alias("a"), F.col("comp").alias("b")).unionByName(near).unionByName(checked))
+    placed = C.materialise(rows.join(found, "d", "left").select("doc_id", "key", "n", F.coalesce("comp", "d").alias("c")))
+    C.release(mark)
+    return placed
+
+
+def jaccard_groups(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` for each row of ``docs`` (``doc_id``, ``text``)."""
+    placed = placed_rows(docs, k, num, den)
     named = placed.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("least_id"))
     return placed.join(named, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each group does: its smallest id.
-
-    Of repeated rows of that id one stays (the smallest text); rows with a null id all stay.
-    """
-    groups = jaccard_groups(docs, k, num, den)
-    gone = C.materialise(groups.filter("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct())
+    """The rows of ``docs`` that stay when one of each group does: the smallest id, of equal ids the text
+    with the smallest hash, and of rows that are equal in both any one.  A null id comes last, so it
+    stays only where its whole group has none.  Rows without words all stay."""
+    placed = placed_rows(docs, k, num, den).filter("c is not null")
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
+    each = placed.groupBy("c", name.alias("r")).agg(F.count("*").alias("copies"))
+    first = each.groupBy("c").agg(F.min("r").alias("first"))
+    each = C.materialise(each.join(first, "c").select("r.__id", "r.__key", (F.col("r") == F.col("first")).alias("stays"), "copies"))
+    gone, twice = each.filter("not stays").select("__id", "__key"), each.filter("stays and copies > 1").select("__id", "__key")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
-    twice = C.materialise(groups.filter("doc_id is not null and doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__id")))
+    is_row = lambda other: docs["doc_id"].cast("long").eqNullSafe(other["__id"]) & (F.xxhash64(docs["text"]) == other["__key"])
+    kept = docs.join(gone, is_row(gone), "left_anti")
     if twice.isEmpty():
         return kept
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    once = kept.join(twice, kept["doc_id"] == twice["__id"], "left_semi").withColumn("__i", F.row_number().over(order)).filter("__i = 1").drop("__i")
-    return kept.join(twice, kept["doc_id"] == twice["__id"], "left_anti").unionByName(once)
+    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")
+    once = kept.join(twice, is_row(twice), "left_semi").withColumn("__i", F.row_number().over(order)).filter("__i = 1").drop("__i")
+    return kept.join(twice, is_row(twice), "left_anti").unionByName(once)

@@ -150,21 +150,11 @@ def learn(labelled: DataFrame, order: int = ORDER, train_bytes: int = TRAIN_BYTE
                     keys, n = np.unique(grams(buf, offs, order)[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(C.signed(keys)), pa.array(n)], names=["lang", "gram", "n"])
 
-    counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    counted = C.map_arrow(sample, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     lang = np.searchsorted(np.array(names), np.array(counted.column("lang").to_pylist(), dtype=str)) if counted.num_rows else np.zeros(0, np.int64)
     return ContextTrees(names, lang, np.asarray(counted.column("gram")).view(np.uint64), np.asarray(counted.column("n")).astype(float), order)
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def _scorer(shared, key: str) -> Scorer:
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(shared.value)
-    return _scorers[key]
-
-
 def identify(docs: DataFrame, trees: ContextTrees | None, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (replacing columns of these names).
 
@@ -177,7 +167,7 @@ def identify(docs: DataFrame, trees: ContextTrees | None, text: str = "text") ->
     shared, key = docs.sparkSession.sparkContext.broadcast(trees), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(shared, key)
+        scorer = C.held(key, lambda: Scorer(shared.value))
         for batch in batches:
             texts, langs, scores = batch.column(text).to_pylist(), [], []
             for start, end, buf, offs, _ in C.blocks(batch.column(text)):
@@ -192,4 +182,4 @@ def identify(docs: DataFrame, trees: ContextTrees | None, text: str = "text") ->
                     scores.append(float(share[k]) if known else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, *RESULT.names])
 
-    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, *RESULT.fields]))
+    return C.map_arrow(rest, run, T.StructType([*rest.schema.fields, *RESULT.fields]))

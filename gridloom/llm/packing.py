@@ -110,16 +110,21 @@ class Tokenizer:
         self.end = len(own)
         self.dtype = np.dtype("<u2") if self.end < 1 << 16 else np.dtype("<u4")
         self.memo = C.WordMemo(MEMO_BITS, self.dtype)
+        self.spelling = C.Spelling([word for word, _ in sorted(own.items(), key=lambda x: x[1])])
 
     def solve(self, words: list[str], first: np.ndarray) -> list[np.ndarray]:
         encode = self.coder.encode_ordinary
         return [np.array(encode(w if lead else f" {w}"), self.dtype) for w, lead in zip(words, first.tolist(), strict=True)]
 
     def encode_column(self, column: pa.Array) -> Iterator[np.ndarray]:
-        """The ids of each row."""
+        """The ids of each row.  They are spelled and compared with the text, so words whose hashes
+        agree in the table can't swap ids: such a row is encoded as a whole."""
         for start, end, buf, offs, _ in C.blocks(column):
             odd = C.uneven_spaces(buf, offs) | spaced_breaks(buf, offs)
             ids, at = C.tokens_of(buf, offs, self.memo, self.solve, True)
+            out, where = self.spelling.spell(ids)
+            where = where[at]
+            odd |= ~C.same_rows(out, where[:-1], where[1:], buf, offs)
             for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
                 yield np.array(self.coder.encode_ordinary(buf[offs[k] : offs[k + 1]].tobytes().decode()), self.dtype) if odd[k] else ids[a:b]
 
@@ -167,16 +172,6 @@ def packed(rows: list[tuple[int | None, np.ndarray]], tokenizer: Tokenizer, capa
         }
 
 
-_made: dict[str, Tokenizer] = {}
-
-
-def _tokenizer(broadcast, key: str) -> Tokenizer:
-    if key not in _made:
-        _made.clear()
-        _made[key] = Tokenizer(broadcast.value)
-    return _made[key]
-
-
 def pack_documents(docs: DataFrame, vocabulary: str, row_tokens: int = 2048, window_tokens: int = WINDOW_TOKENS) -> DataFrame:
     """The packed id matrix of ``docs`` (``doc_id``, ``text``); other columns are not read."""
     with open(vocabulary, "rb") as f:
@@ -187,7 +182,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, row_tokens: int = 2048, win
     schema = pa.schema([("pack_id", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("resets", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(shared, key)
+        tokenizer = C.held(key, lambda: Tokenizer(shared.value))
         number = TaskContext.get().partitionId() << 40
         held: list[tuple[int | None, np.ndarray]] = []
         total = 0
@@ -215,7 +210,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, row_tokens: int = 2048, win
                     yield from flush()
         yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, RESULT)
+    return C.map_arrow(docs.select("doc_id", "text"), run, RESULT)
 
 
 def write_packed(rows: DataFrame, path: str) -> None:

@@ -104,9 +104,7 @@ class PieceTransducer:
         self.pairs = {p[i : i + 2] for p, k in zip(self.pieces, self.kinds, strict=True) if k in (NORMAL, USER_DEFINED) for i in range(len(p) - 1)}
         self._tables()
         self.table = C.WordMemo(MEMO_BITS)
-        self.out_size = np.array([len(x) for x in self.out], np.int64)
-        self.out_start = np.cumsum(self.out_size) - self.out_size
-        self.out_bytes = np.frombuffer(b"".join(self.out), np.uint8)
+        self.spelling = C.Spelling(self.out)
 
     # ---- normaliser
 
@@ -248,35 +246,28 @@ class PieceTransducer:
     def encode_column(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each block of a text column: ids, where each row's begin, and whether decoding gave back the text.
 
-        Rows with single spaces only go through the word memo; others are composed as they are.
+        Rows with single spaces only go through the word memo; others are composed as they are, and so
+        are rows whose ids don't spell their text (words whose hashes agree in the memo).
         """
         for start, end, buf, offs, _ in C.blocks(column):
             odd = C.uneven_spaces(buf, offs) if self.prefix else np.ones(end - start, bool)
             lead = np.flatnonzero(buf[:-2] == 0xE2) if len(buf) > 2 else np.zeros(0, np.int64)
             odd |= C.rows_with(buf, offs, lead[(buf[lead + 1] == 0x96) & (buf[lead + 2] == 0x81)])
             ids, at = C.tokens_of(buf, offs, self.table, self.solve, False)
+            out, where = self.spelling.spell(ids)
+            where = where[at]
+            odd |= ~C.same_rows(out, where[:-1] + (np.diff(where) > 0), where[1:], buf, offs)  # the prefix is a space
+            same = np.ones(end - start, bool)
             if odd.any():
                 parts = [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 for k in np.flatnonzero(odd).tolist():
-                    parts[k] = self.encode(buf[offs[k] : offs[k + 1]].tobytes().decode())
+                    text = buf[offs[k] : offs[k + 1]].tobytes().decode()
+                    parts[k] = self.encode(text)
+                    same[k] = self.decode(parts[k]) == self.normalise(text)
                 ids = np.concatenate(parts)
                 at = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
-            out, where = self.spell(ids)
-            where = where[at]
-            same = np.ones(end - start, bool)
-            for k, (a, b, x, y) in enumerate(zip(where[:-1].tolist(), where[1:].tolist(), offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
-                if odd[k]:
-                    same[k] = self.decode(ids[at[k] : at[k + 1]]) == self.normalise(buf[x:y].tobytes().decode())
-                elif x < y:
-                    same[k] = b - a == y - x + 1 and np.array_equal(out[a + 1 : b], buf[x:y])
             yield ids, at, same
 
-    def spell(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of all ids in a row, and where each id's begin (one more for the end)."""
-        size = self.out_size[ids]
-        ends = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
-        return self.out_bytes[np.repeat(self.out_start[ids] - ends[:-1], size) + np.arange(ends[-1])], ends
-
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of one text."""
         head, words = self.words(self.normalise(text or ""))
@@ -314,16 +305,6 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
-_compiled: dict[str, PieceTransducer] = {}
-
-
-def _transducer(broadcast, key: str) -> PieceTransducer:
-    if key not in _compiled:
-        _compiled.clear()
-        _compiled[key] = PieceTransducer(broadcast.value)
-    return _compiled[key]
-
-
 def _share(df: DataFrame, path: str):
     """The model file is read once, on the driver; its size is that of a vocabulary."""
     data = model_bytes(path)
@@ -344,7 +325,7 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text", drop: tuple[s
     passed = [f for f in rest.schema.fields if f.name not in drop]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _transducer(shared, key)
+        machine = C.held(key, lambda: PieceTransducer(shared.value))
         is_byte = np.array([k == BYTE for k in machine.kinds])
         for whole in batches:
             start = 0
@@ -355,7 +336,7 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text", drop: tuple[s
                 own = [pa.array(np.diff(at).astype(np.int32)), pa.array(np.diff(marks[at]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32, copy=False))), pa.array(same)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in passed), *own], names=[*(f.name for f in passed), *RESULT.names])
 
-    return rest.mapInArrow(run, T.StructType([*passed, *RESULT.fields]))
+    return C.map_arrow(rest, run, T.StructType([*passed, *RESULT.fields]))
 
 
 def decode_pieces(encoded: DataFrame, model: str, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -364,9 +345,9 @@ def decode_pieces(encoded: DataFrame, model: str, ids: str = "ids", out: str = "
     rest = encoded.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _transducer(shared, key)
+        machine = C.held(key, lambda: PieceTransducer(shared.value))
         for batch in batches:
             texts = [None if x is None else machine.decode(x) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
-    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField(out, T.StringType())]))
+    return C.map_arrow(rest, run, T.StructType([*rest.schema.fields, T.StructField(out, T.StringType())]))

@@ -137,27 +137,17 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> C
     return fit([np.frombuffer(k, "<i4") for k in got.column("kinds").to_pylist()], np.array(got.column("stats").to_pylist()), good)
 
 
-_cache: dict[str, Classifier] = {}
-
-
-def _classifier(shared, key: str) -> Classifier:
-    if key not in _cache:
-        _cache.clear()
-        _cache[key] = shared.value
-    return _cache[key]
-
-
 def with_log_odds(docs: DataFrame, model: Classifier, out: str, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     passed = [f for f in docs.schema.fields if f.name not in drop]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _classifier(shared, key)
+        own = C.held(key, lambda: shared.value)
         for batch in batches:
             odds = [own.log_odds(buf, offs) for _, _, buf, offs, _ in C.blocks(batch.column(text))]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in passed), pa.array(np.concatenate(odds) if odds else np.zeros(0))], names=[*(f.name for f in passed), out])
 
-    return docs.mapInArrow(run, T.StructType([*passed, T.StructField(out, T.DoubleType())]))
+    return C.map_arrow(docs, run, T.StructType([*passed, T.StructField(out, T.DoubleType())]))
 
 
 def _strength(rate: float, spread: float, noise: float) -> float:
@@ -220,6 +210,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, host: Column, path: Column, tr
     light = docs.select("text", host.alias("host"), path.alias("path"))
     scored = with_log_odds(light, model, "z", drop=("text",)).select("host", "path", (1 / (1 + F.exp(-F.col("z")))).alias("p"))
     sites, rate = site_rates(scored)
-    whole = docs.select(F.struct("*").alias("__row"), F.col("text").alias("__text"), host.alias("__h"), path.alias("__p"))
-    again = with_log_odds(whole, model, "__z", "__text", drop=("__text",))
-    return posterior(again, "__h", "__p", "__z", sites, rate).filter("score >= 0.5").select("__row.*")
+    safe = [f"in_{i}" for i in range(len(docs.columns))]  # whatever the columns are called, no name clashes
+    named = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, safe, strict=True)), host.alias("h"), path.alias("p"))
+    again = with_log_odds(named, model, "z", safe[docs.columns.index("text")])
+    kept = posterior(again, "h", "p", "z", sites, rate).filter("score >= 0.5")
+    return kept.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, safe, strict=True)))

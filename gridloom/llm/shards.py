@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.llm import common as C
+
 CELL_ROWS = 1024
 
 
@@ -107,6 +109,6 @@ def shuffle_to_shards(df: DataFrame, shards: int, seed: int = 0, cell_rows: int
         if at != have:
             raise RuntimeError(f"partition {p} had {have} rows when it was counted; checkpoint the input first")
 
-    placed = rest.mapInArrow(run, T.StructType([*rest.schema.fields, *own]))
+    placed = C.map_arrow(rest, run, T.StructType([*rest.schema.fields, *own]))
     order = Window.partitionBy("__cell").orderBy("__key")
     return placed.select(*rest.columns, F.col("__shard").cast("int").alias(shard), (F.col("__first") + F.row_number().over(order) - 1).alias(slot))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.llm import common as C
+
 SCALE = 256
 BLOCK_DIMS = 16
 TILE = 64
@@ -154,7 +156,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "
                 there = np.arange(k) < b.held[:, None]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.queries, b.held)), pa.array(b.ids[there]), pa.array(b.scores[there])], schema=ARROW)
 
-        got = cand.mapInArrow(run, SCHEMA)
+        got = C.map_arrow(cand, run, SCHEMA)
         found = got if found is None else found.unionByName(got)
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -258,7 +258,7 @@ def test_jaccard_groups(spark, seed, monkeypatch):
     vocabulary = [f"w{i}" for i in range(40 if seed else 4000)]
     if seed == 2:
         monkeypatch.setattr(jaccard, "SALT_ROWS", 2)
-        monkeypatch.setattr(jaccard, "PIVOTS", 2)
+        monkeypatch.setattr(jaccard, "REFERENCE_ROWS", 2)
     texts = list(ODD)
     for _ in range(12):
         base = [rng.choice(vocabulary) for _ in range(rng.choice([3, 5, 8, 30, 120]))]
