@@ -1,16 +1,22 @@
 """Exact top-k inner products by columnar branch and bound.
 
-Candidates are read in blocks whose vectors lie dimension by dimension.  For a tile of queries the
-inner products grow one block of dimensions at a time; what the remaining dimensions can still add is
-at most the product of the remaining norms (Cauchy-Schwarz), so a candidate whose bound is below the
-k-th score that every query of the tile already has is dropped, and the survivors are compacted
-before the next block.  Scores are exact integers.
+Candidates are read in blocks whose vectors lie dimension by dimension, the dimensions with the most
+mass first and the candidates by falling norm.  For a tile of alike queries the inner products grow
+one block of dimensions at a time; what the remaining dimensions can still add is at most the product
+of the remaining norms (Cauchy-Schwarz), so a candidate whose bound is below the k-th score that a
+query already has is out.  While most candidates may still serve some query of the tile, the tile goes
+on together; then each query goes on alone with its own survivors, compacted after every block of
+dimensions.  The first few candidates are finished at once, so that there is a k-th score to begin
+with.  Scores are exact integers; ``Best.work`` counts the multiplications, ``Best.whole`` those of a
+full product.
 
 The queries are a stated set.  They travel to the candidates in passes of at most ``pass_bytes``; a
 pass reads the candidates once, each task keeps k rows for a query, and one ranking over those few
-rows ends it.  A query's own id is no candidate.  If an id occurs in several rows, it counts once with
-its best score.  Vectors that are null, or hold null or non-finite components, take no part, and a
-query meets candidates of its own dimension only.  Ties go to the smaller id.
+rows ends it.  Several passes run one after the other, and each frees its queries when it ends.  A
+query's own id is no candidate.  If an id occurs in several rows, it counts once with its best score.
+Vectors that are null, or hold null or non-finite components, take no part, and a query meets candidates
+of its own dimension only.  Ties go to the smaller id.  Empty tables give no rows; other columns are
+not read, so their names don't matter; very long vectors are only more blocks of dimensions.
 """
 
 from __future__ import annotations
@@ -25,8 +31,10 @@ from pyspark.sql import functions as F
 from gridloom.llm import common as C
 
 SCALE = 256
-BLOCK_DIMS = 16
-TILE = 64
+BLOCK_DIMS = 8
+TILE = 16
+LEAD = 256  # candidates that are finished before others are bounded
+ALONE = 0.5  # share of a tile's candidates at which its queries part
 BLOCK_ROWS = 4096
 PASS_BYTES = 32 << 20
 SCHEMA = "query_id long, vec_id long, score long"
@@ -74,12 +82,17 @@ class Best:
         self.ids = np.full((len(queries), k), np.iinfo(np.int64).max)
         self.scores = np.full((len(queries), k), np.iinfo(np.int64).min)
         self.held = np.zeros(len(queries), np.int64)
+        self.work = self.whole = 0
 
-    def floor(self, rows: slice) -> np.ndarray:
+    def floor(self, rows: np.ndarray) -> np.ndarray:
         """Scores below which a candidate can't enter."""
         return np.where(self.held[rows] == self.k, self.scores[rows, -1].astype(np.float64), -np.inf)
 
     def merge(self, row: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Let candidates compete that are not below the floor; ``scores`` are whole numbers."""
+        if self.held[row] == self.k:
+            enough = scores >= self.scores[row, -1]
+            ids, scores = ids[enough], scores[enough]
         other = ids != self.queries[row]
         n = self.held[row]
         ids, scores = np.concatenate((self.ids[row, :n], ids[other])), np.concatenate((self.scores[row, :n], scores[other]))
@@ -91,43 +104,62 @@ class Best:
         self.ids[row, : len(keep)], self.scores[row, : len(keep)] = ids[keep], scores[keep]
 
 
-def search_block(best: Best, q: np.ndarray, ids: np.ndarray, x: np.ndarray, block: int = BLOCK_DIMS) -> None:
-    """Let a block of candidates (sorted by id) compete for every query."""
+def alike(q: np.ndarray) -> np.ndarray:
+    """An order of the queries in which like ones are near each other: by the nearest of a few of them."""
+    if len(q) <= TILE:
+        return np.arange(len(q))
+    some = q[:: max(1, len(q) // max(2, int(len(q) ** 0.5)))]
+    return np.argsort((q @ some.T).argmax(axis=1), kind="stable")
+
+
+def search_block(best: Best, q: np.ndarray, ids: np.ndarray, x: np.ndarray, block: int = 0) -> None:
+    """Let a block of candidates compete for every query."""
     n, dim = x.shape
-    copies = int(np.unique(ids, return_counts=True)[1].max())
-    want = (best.k + 1) * copies  # the query's own id and repeated ids may be among them
-    exact = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(dim, 1) < EXACT
-    columns, rest = np.ascontiguousarray(x.T), rest_norms(x, block)
-    q_rest = rest_norms(q, block)
-    for t in range(0, len(q), TILE):
-        rows = slice(t, min(t + TILE, len(q)))
-        tile, floor = q[rows], best.floor(rows)
-        live, sums = np.arange(n), np.zeros((len(tile), n))
-        if exact:
-            for b, i in enumerate(range(0, dim, block)):
-                sums += tile[:, i : i + block] @ columns[i : i + block, live]
-                if i + block >= dim:
-                    break
-                slack = q_rest[b, rows][:, None] * rest[b, live] + 1
-                if len(live) > want:  # lower bounds raise the floor before anything was finished
-                    low = np.partition(sums - slack, len(live) - want, axis=1)[:, len(live) - want]
-                    floor = np.maximum(floor, low)
-                keep = ((sums + slack) >= floor[:, None]).any(axis=0)
-                if keep.mean() < 0.7:
-                    live, sums = live[keep], sums[:, keep]
-            whole = sums.astype(np.int64)
-        else:
-            whole = scores_exact(tile, x)
+    block = block or BLOCK_DIMS
+    best.whole += len(q) * n * dim
+    if not dim or np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * dim >= EXACT:
+        best.work += len(q) * n * dim
+        for row, whole in enumerate(scores_exact(q, x) if dim else np.zeros((len(q), n), np.int64)):
+            best.merge(row, ids, whole)
+        return
+    norm = np.sqrt((x * x).sum(axis=1)) * (1 + 1e-9)
+    order = np.argsort(-norm, kind="stable")
+    ids, norm = ids[order], norm[order]
+    for tile in np.array_split(alike(q), -(-len(q) // TILE)) if len(q) else ():
+        mass = np.argsort(-((x * x).sum(axis=0) * (q[tile] ** 2).sum(axis=0)), kind="stable")
+        own, columns = q[tile][:, mass], np.ascontiguousarray(x[order][:, mass].T)
+        rest, q_rest = rest_norms(columns.T, block), rest_norms(own, block)
+        size = np.sqrt((own * own).sum(axis=1)) * (1 + 1e-9)
+        lead = min(n, LEAD)
+        best.work += len(tile) * lead * dim
+        for row, whole in zip(tile.tolist(), (own @ columns[:, :lead]).astype(np.int64), strict=True):
+            best.merge(row, ids[:lead], whole)
+        floor = best.floor(tile)
+        end = int(np.searchsorted(-norm, -np.min(floor / np.maximum(size, 1e-300)), "right")) if (floor > 0).all() else n
+        live = np.arange(lead, max(lead, end))  # beyond, even the whole norms fall short
+        sums, i, b = np.zeros((len(tile), len(live))), 0, 0
+        while i < dim and len(live):
+            sums += own[:, i : i + block] @ columns[i : i + block, live]
+            best.work += len(tile) * len(live) * min(block, dim - i)
+            may = sums + (q_rest[b][:, None] * rest[b, live] + 1) >= floor[:, None]
+            i, b = i + block, b + 1
+            some = may.any(axis=0)
+            if some.mean() < 0.7:
+                live, sums, may = live[some], sums[:, some], may[:, some]
+            if i < dim and may.size and may.mean() < ALONE:
+                break
         if not len(live):
             continue
-        cut = np.partition(whole, len(live) - want, axis=1)[:, len(live) - want] if len(live) > want else np.full(len(tile), np.iinfo(np.int64).min)
-        for r in range(len(tile)):
-            own = best.floor(slice(t + r, t + r + 1))[0]
-            got = np.flatnonzero(whole[r] >= max(int(cut[r]), int(own) if own > -np.inf else int(cut[r])))
-            if len(got) > want:  # of equal scores, the smaller ids: candidates are in order of id
-                got = got[np.argsort(~whole[r, got], kind="stable")[:want]]
-            if len(got):
-                best.merge(t + r, ids[live[got]], whole[r, got])
+        for r, row in enumerate(tile.tolist()):  # each query with its own survivors
+            left, total, at, c = live[may[r]], sums[r, may[r]], i, b
+            while at < dim and len(left):
+                total = total + own[r, at : at + block] @ columns[at : at + block, left]
+                best.work += len(left) * min(block, dim - at)
+                keep = total + (q_rest[c, r] * rest[c, left] + 1) >= floor[r]
+                left, total = left[keep], total[keep]
+                at, c = at + block, c + 1
+            if len(left):
+                best.merge(row, ids[left], total.astype(np.int64))
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE, pass_bytes: int = PASS_BYTES) -> DataFrame:
@@ -157,6 +189,9 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.queries, b.held)), pa.array(b.ids[there]), pa.array(b.scores[there])], schema=ARROW)
 
         got = C.map_arrow(cand, run, SCHEMA)
+        if passes > 1:
+            got = C.materialise(got)
+            shared.unpersist()
         found = got if found is None else found.unionByName(got)
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -70,6 +70,33 @@ def test_top_k_extremes(spark):
     assert [r["vec_id"] for r in topk.top_k(same, same.filter("vec_id = 0")).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
 
 
+def counted(q, x, k=5):
+    """Share of the multiplications of a full product, and whether the results are those of one."""
+    best = topk.Best(np.arange(len(q)) + 10**6, k)
+    for at in range(0, len(x), topk.BLOCK_ROWS):
+        topk.search_block(best, q, np.arange(at, min(at + topk.BLOCK_ROWS, len(x))), x[at : at + topk.BLOCK_ROWS])
+    whole = (q @ x.T).astype(np.int64)
+    for row, own in enumerate(whole):
+        order = np.lexsort((np.arange(len(x)), -own))[:k]
+        assert best.ids[row].tolist() == order.tolist() and best.scores[row].tolist() == own[order].tolist()
+    assert best.whole == q.size * len(x)
+    return best.work / best.whole
+
+
+def test_bounds_save_work():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 64)) * 60
+    x = np.floor(centres[rng.integers(0, 20, 12_000)] + rng.normal(size=(12_000, 64)) * 12)
+    assert counted(x[::300] + 0.0, x) < 0.35  # clusters
+    uneven = np.floor(rng.normal(size=(12_000, 64)) * 40 * rng.pareto(2, (12_000, 1)))
+    assert counted(uneven[::300] + 0.0, uneven) < 0.1  # norms of a heavy tail
+    decay = np.floor(rng.normal(size=(12_000, 64)) * 200 * 0.9 ** rng.permutation(64))
+    assert counted(decay[::300] + 0.0, decay) < 0.6  # few dimensions hold the mass
+    even = rng.normal(size=(12_000, 64))
+    even = np.floor(even / np.linalg.norm(even, axis=1, keepdims=True) * 256)
+    assert counted(even[::300] + 0.0, even) < 0.9  # directions without any structure: the worst case
+
+
 # ---- 2
 
 
