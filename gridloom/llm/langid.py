@@ -11,8 +11,11 @@ table of such grams with their exact costs in all languages, fills it by the fro
 turn up, and scores whole blocks with array look-ups.
 
 The training sample takes texts by a hash of the text itself, at a rate that holds about
-``TRAIN_BYTES`` over all languages.  Only text is read when predicting.  A null text, or one without a
-letter, is ``und`` with score 0; so is everything if there was nothing to learn from.
+``TRAIN_BYTES`` of distinct texts over all languages.  Only text is read when predicting.  A null text, or one without a
+letter, is ``und`` with score 0; so is everything if there was nothing to learn from.  Repeated rows are
+predicted alike and copies teach once; a very long text is scored slice by slice; an empty table gives
+no rows; columns named like the result's are replaced, others pass through.  One small row for each
+distinct language goes to the driver.
 """
 
 from __future__ import annotations
@@ -32,11 +35,16 @@ from gridloom.llm import common as C
 ORDER = 4
 TRAIN_BYTES = 4 << 20
 TABLE_BITS = 20
-LETTER = re.compile(r"[^\W\d_]")
+TABLE_BYTES = 64 << 20  # of costs in the table, however many languages there are
+ASCII_LETTER = re.compile("[A-Za-z]")
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 ONE = np.uint64(1)
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and (ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text)))
+
+
 def grams(buf: np.ndarray, offs: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """For each byte, it and the ``order`` bytes before it in its text as one number (zero bytes stand
     before a text; A-Z count as a-z), and where each row's begin."""
@@ -101,14 +109,15 @@ class Scorer:
 
     def __init__(self, trees: ContextTrees):
         self.trees = trees
-        self.memo = C.WordMemo(TABLE_BITS)
-        self.costs = np.zeros((1 << TABLE_BITS, len(trees.names)), np.float32)
+        bits = min(TABLE_BITS, (TABLE_BYTES // (8 * len(trees.names))).bit_length() - 1)
+        self.memo = C.WordMemo(max(4, bits))
+        self.costs = np.zeros((1 << self.memo.bits, len(trees.names)))
 
     def lengths(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Code length in bits of each row in each language."""
         keys, offs = grams(buf, offs, self.trees.order)
         hashed = C.mix(keys) | ONE  # the table needs keys that are not 0
-        costs = np.empty((len(keys), len(self.trees.names)), np.float32)
+        out = np.zeros((len(offs) - 1, len(self.trees.names)))
         for own in self.memo.slices(len(keys)):
             key, gram = hashed[own], keys[own]
             slots = self.memo.find(key)
@@ -122,18 +131,17 @@ class Scorer:
                 self.memo.add(new, [np.zeros(0, np.int32)] * len(new))
                 self.costs[self.memo.find(new)] = self.trees.code_lengths(gram[lost[at]])
                 slots = self.memo.find(key)
-            costs[own] = self.costs[slots]
-        out = np.zeros((len(offs) - 1, len(self.trees.names)))
-        full = np.flatnonzero(np.diff(offs))
-        if len(full):
-            out[full] = np.add.reduceat(costs, offs[full], axis=0, dtype=np.float64)
+            row = np.searchsorted(offs, np.arange(own.start, own.stop), "right") - 1
+            cut = np.flatnonzero(np.diff(row, prepend=-1))
+            out[row[cut]] += np.add.reduceat(self.costs[slots], cut, axis=0)
         return out
 
 
 def learn(labelled: DataFrame, order: int = ORDER, train_bytes: int = TRAIN_BYTES) -> ContextTrees | None:
     """Context trees from rows of ``text`` and ``lang``; rows with a null in either are left out."""
     rows = labelled.filter("text is not null and lang is not null and text <> ''").select("text", "lang")
-    sizes = {r["lang"]: r["bytes"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()}
+    each = rows.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.max(F.octet_length("text")).alias("bytes"))  # copies count once
+    sizes = {r["lang"]: r["bytes"] for r in each.groupBy("lang").agg(F.sum("bytes").alias("bytes")).collect()}
     if not sizes:
         return None
     names = sorted(sizes)
@@ -177,7 +185,7 @@ def identify(docs: DataFrame, trees: ContextTrees | None, text: str = "text") ->
                 share = 1.0 / np.exp2(-mean).sum(axis=1)
                 for k in range(end - start):
                     value = texts[start + k]
-                    known = value is not None and LETTER.search(value) is not None
+                    known = has_letter(value)
                     langs.append(scorer.trees.names[best[k]] if known else "und")
                     scores.append(float(share[k]) if known else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, *RESULT.names])
