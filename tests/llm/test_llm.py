@@ -216,15 +216,38 @@ def test_shards(spark):
 
 
 def test_communication_matrix():
-    sizes, (cells, shard, first) = np.array([5, 0, 40, 17, 3]), shards.cells_of(65, 4, 10)
+    sizes, cells = np.array([5, 0, 40, 17, 3]), shards.even(65, 4)
     rows = np.array([shards.matrix_row(sizes, cells, p, 9) for p in range(5)])
     assert (rows.sum(axis=1) == sizes).all() and (rows.sum(axis=0) == cells).all() and (rows >= 0).all()
-    assert cells.sum() == 65 and len(shard) == len(first) == len(cells)
     draws = np.array([shards.split_counts(np.random.default_rng(s), np.array([30, 50, 20]), 40) for s in range(4000)])
     assert np.allclose(draws.mean(axis=0), [12, 20, 8], atol=0.2)
     assert np.allclose(draws.var(axis=0), [40 * p * (1 - p) * 60 / 99 for p in (0.3, 0.5, 0.2)], rtol=0.12)
     wide = shards.split_counts(np.random.default_rng(1), np.full(24, 10**10), 10**11)
     assert wide.sum() == 10**11
+    row = shards.matrix_row(np.full(100_000, 10**6), shards.even(10**11, 24), 77_777, 1)  # one task of 10^11 rows
+    assert row.sum() == 10**6
+
+
+def test_slots_by_plain_sorting(spark, tmp_path):
+    """The same streams, sorted in one place: every row's shard and slot."""
+    spark.range(0, 3000, 1, 7).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    assert shards.rows_in_order(df) is df and shards.rows_in_order(df.repartition(3)).count() == 3000
+    parts = {}
+    for r in df.select("doc_id", F.spark_partition_id().alias("p")).collect():
+        parts.setdefault(r["p"], []).append(r["doc_id"])
+    sizes = np.array([len(parts.get(p, [])) for p in range(max(parts) + 1)])
+    keyed = []
+    for p, ids in parts.items():
+        shard, _, key = shards.Deal(sizes, 5, 6, p, 4).take(len(ids))
+        keyed += zip(shard.tolist(), key.tolist(), ids, strict=True)
+    want, seen = {}, {}
+    for s, _, i in sorted(keyed):
+        want[i] = (s, seen.setdefault(s, 0))
+        seen[s] += 1
+    for cell_rows in (9, 16):
+        got = shards.shuffle_to_shards(df, 5, 4, cell_rows)
+        assert {r["doc_id"]: (r["shard"], r["slot"]) for r in got.collect()} == want
 
 
 def test_uniform_slots(spark):
