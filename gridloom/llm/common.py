@@ -251,6 +251,16 @@ class Words:
         return b" ".join(LOWER[self.buf[x:y]].tobytes() for x, y in zip(a, b, strict=True))
 
 
+    def normal_text(self) -> tuple[np.ndarray, np.ndarray]:
+        """All words as lower-cased bytes, each followed by a space, and where each begins."""
+        size = self.end - self.start
+        begin = np.cumsum(size + 1) - size - 1
+        out = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat(begin, size) + inside] = LOWER[self.buf[np.repeat(self.start, size) + inside]]
+        return out, begin
+
+
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 

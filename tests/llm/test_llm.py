@@ -351,10 +351,32 @@ def test_contamination_paths_agree(spark):
     for m in (1 << 20, 0):
         kept = decontam.decontaminate(df, items, max_broadcast_bytes=m)
         assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [r[0] for r in a if not r[2]]
-    cut = {r["doc_id"]: r["text"] for r in decontam.decontaminate(df, items, remove="span").collect()}
-    assert cut[len(ODD)] == "x  y " and cut[6] == "a" and len(cut) == len(texts)
+    for m in (1 << 20, 0):
+        cut = {r["doc_id"]: r["text"] for r in decontam.decontaminate(df, items, remove="span", max_broadcast_bytes=m).collect()}
+        assert cut[len(ODD)] == "x  y " and cut[6] == "a" and cut[0] is None and len(cut) == len(texts)
     assert decontam.find_leaks(df, items.limit(0)).filter("n_hit > 0").count() == 0
-    assert decontam.find_leaks(df.limit(0), items).count() == 0
+    assert decontam.find_leaks(df.limit(0), items).count() == 0 and decontam.decontaminate(df.limit(0), items, max_broadcast_bytes=0).count() == 0
+
+
+def test_windows_of_one_hash(monkeypatch):
+    """Other words with an equal hash stay apart, in the set and in the texts."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(decontam.C, "windows", lambda hashed, k: np.full(max(0, len(hashed) - k + 1), np.uint64(5 << 60)))
+    found = decontam.WindowSet([(1, "a b c"), (2, "d e f"), (3, "x a b c")], 3)
+    ((_, words, hit, items),) = decontam.leaks_of(pa.array(["a b c d e f", "b c d"]), found)
+    assert items == [{1, 2, 3}, set()] and hit.tolist() == [True] * 6 + [False] * 3
+
+
+def test_window_set_is_as_large_as_it_says(spark):
+    import pickle
+
+    rng = random.Random(3)
+    items = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(300))) for i in range(1000)]
+    found = decontam.WindowSet(items, 10)
+    assert len(pickle.dumps(found)) < 1.2 * found.nbytes() < 1.2 * 30 * sum(len(t) for _, t in items)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert decontam.window_set(bench, 10, found.nbytes() - 1) is None and decontam.window_set(bench, 10, found.nbytes()) is not None
 
 
 # ---- 8
