@@ -7,10 +7,13 @@ from the method of moments.  A document's posterior adds its path's log odds, re
 rate, to its own; sparse sites thus stay near the global prior.
 
 The classifier learns from at most about ``TRAIN_ROWS`` labelled documents, chosen by a hash of the id;
-sites' statistics cover all documents.  Nulls: a null text has no words; null hosts and paths are sites
-of their own; labels with a null id or label, or no document, teach nothing.  Several labels of one id
-count once with the worst.  Without two classes to learn from every document is kept.  Repeated rows
-are judged alike.  Other columns, also ones with the result's names, pass through ``keep_good``.
+sites' statistics cover all documents.  ``site_of`` takes host and path from URLs; tables without URLs give
+other columns.  Nulls: a null text has no words; null hosts and paths are sites of their own; labels with
+a null id or label, or no document, teach nothing.  Several labels of one id count once with the worst,
+and of several documents of one id that with the smallest text hash teaches.  Without two classes to
+learn from every document is kept.  Repeated rows are judged alike; very long texts are read block by
+block; an empty table gives no rows.  Other columns, also ones with the result's names, pass through
+``keep_good``.
 """
 
 from __future__ import annotations
@@ -126,11 +129,12 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> C
                 cut = np.searchsorted(at, np.arange(end - start + 1))
                 kinds += [kind[a:b].astype("<i4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 stats += own.tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("good"), pa.array(kinds, pa.binary()), pa.array(stats, pa.list_(pa.float64()))], names=["doc_id", "good", "kinds", "stats"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "good", "hash")), pa.array(kinds, pa.binary()), pa.array(stats, pa.list_(pa.float64()))], names=["doc_id", "good", "hash", "kinds", "stats"])
 
     # the chosen ids are a bounded sample: about train_rows rows of 9 bytes
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "text").mapInArrow(run, "doc_id long, good boolean, kinds binary, stats array<double>")
-    got = rows.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "good", F.xxhash64("text").alias("hash"), "text")
+    rows = C.map_arrow(found, run, "doc_id long, good boolean, hash long, kinds binary, stats array<double>")
+    got = rows.groupBy("doc_id").agg(F.min_by(F.struct("good", "kinds", "stats"), "hash").alias("x")).select("doc_id", "x.*").toArrow().sort_by("doc_id")
     good = np.array(got.column("good").to_pylist(), dtype=bool)
     if not good.any() or good.all():
         return None
@@ -150,6 +154,12 @@ def with_log_odds(docs: DataFrame, model: Classifier, out: str, text: str = "tex
     return C.map_arrow(docs, run, T.StructType([*passed, T.StructField(out, T.DoubleType())]))
 
 
+def site_of(url: Column) -> tuple[Column, Column]:
+    """Host (lower case, without ``www.``) and first part of the path of a URL; null where it has none."""
+    host = F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), "^www\\.", "")
+    return host, F.regexp_extract(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "^/*([^/]*)", 1)
+
+
 def _strength(rate: float, spread: float, noise: float) -> float:
     """Beta prior strength by moments: what the spread of rates leaves beyond sampling noise."""
     between = max(spread - noise, 1e-6)

@@ -115,6 +115,59 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(documents(spark, texts).limit(0), RANKS).count() == 0
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+PAIR = thue_morse(1024), thue_morse(1024, "b", "a")
+
+
+def test_words_that_collide_in_polynomial_hashes(spark, machine):
+    import pyarrow as pa
+
+    texts = [f"x {PAIR[0]} y", f"x {PAIR[1]} y", *PAIR]
+    tokenizer = packing.Tokenizer(open(RANKS, "rb").read())
+    assert [tokenizer.decode(ids) for ids in tokenizer.encode_column(pa.array(texts))] == texts
+    ((ids, at, same),) = machine.encode_column(pa.array(texts))
+    assert same.all() and [machine.decode(ids[a:b]) for a, b in zip(at[:-1], at[1:])] == texts
+    df = spark.createDataFrame([(i, f"one two three four {t} six seven") for i, t in enumerate(PAIR)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard.jaccard_groups(df).collect()) == [(0, 3, 0), (1, 3, 1)]
+
+
+def test_equal_hashes_of_words_lose_nothing(monkeypatch, machine):
+    """Even if all words had one hash, ids would be those of the texts."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing.C.Words, "hashes", lambda self, cased=False, seed=0: np.full(len(self.start), np.uint64(77)))
+    texts = ["aa bb", "bb aa", "one two three"]
+    tokenizer, fresh = packing.Tokenizer(open(RANKS, "rb").read()), pieces.PieceTransducer(pieces.model_bytes(MODEL))
+    assert [tokenizer.decode(ids) for ids in tokenizer.encode_column(pa.array(texts))] == texts
+    ((ids, at, same),) = fresh.encode_column(pa.array(texts))
+    assert same.all() and [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [machine.encode(t).tolist() for t in texts]
+
+
+def test_word_hashes():
+    words = [b"a", b"b", b"ab", b"ba", b"a" * 8, b"a" * 9, b"a" * 16, b"a" * 64, b"a" * 65, b"a" * 66, b"a" * 64 + b"b", b"a" * 5000]
+    buf, offs = np.frombuffer(b" ".join(words), np.uint8), np.array([0, sum(map(len, words)) + len(words) - 1])
+    own = packing.C.Words(buf, offs, packing.C.SPACED)
+    assert len(set(own.hashes().tolist())) == len(words) and set(own.hashes(seed=1)) != set(own.hashes(seed=2))
+    assert own.normal_text()[0].tobytes() == b" ".join(words) + b" "
+    for k, w in enumerate(words):  # the same wherever it stands and however its letters are cased
+        one = packing.C.Words(np.frombuffer(b" " + w.upper(), np.uint8), np.array([0, len(w) + 1]), packing.C.SPACED)
+        assert one.hashes()[0] == own.hashes()[k] and one.hashes(cased=True)[0] != own.hashes()[k]
+
+
+def test_query_output_read_back(spark, tmp_path):
+    """The registered query's rows, written and read: every document of the table comes back."""
+    packing.write_packed(Q.op2_token_packing(spark, SF), f"{tmp_path}/packed")
+    rows = spark.read.parquet(f"{tmp_path}/packed").collect()
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    tokenizer = packing.Tokenizer(open(RANKS, "rb").read())
+    assert packing.unpack(rows, tokenizer) == {k: [v] for k, v in docs.items()}
+    assert all(len(r["ids"]) == 2 * 2048 and r["cu_seqlens"][-1] == r["n_tokens"] for r in rows)
+    assert sum(r["n_tokens"] for r in rows) / (2048 * len(rows)) > 0.9
+
+
 def test_word_table_equals_the_tokenizer():
     import pyarrow as pa
 
@@ -192,6 +245,29 @@ def test_code_lengths(spark):
         assert np.allclose(own, [brute_length(train[k], t, 3) for k in ("aa", "bb")], atol=1e-3)
 
 
+def test_winner_and_und_by_brute_force(spark):
+    """Predictions of the query's operators, text by text."""
+    rng = random.Random(8)
+    train = {"aa": ["the cat sat on the mat", "a cat and a hat"], "bb": ["der hund bellt laut", "ein hund und ein haus"], "cc": ["xyzzy plugh", "plover xyzzy"]}
+    df = spark.createDataFrame([(t, k) for k, v in train.items() for t in v * 2], "text string, lang string")
+    texts = ["½ ²", "١٢٣", "٣ é", "!!", "\u0301", "ª", "", None, "the hund", "xyzzy cat", "der", "Der HUND ½"] + ["".join(rng.choice("abcdehtunxyz  ") for _ in range(rng.randrange(1, 30))) for _ in range(60)]
+    got = {r["doc_id"]: r for r in langid.identify(documents(spark, texts), langid.learn(df)).collect()}
+    for i, t in enumerate(texts):
+        if t is None or not any(c.isalpha() for c in t):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0), t
+            continue
+        bits = [brute_length(train[k], "".join(c.lower() if c.isascii() else c for c in t), 4) for k in sorted(train)]
+        n = len(t.encode())
+        share = 1 / sum(2 ** -((b - min(bits)) / n * min(n, 64)) for b in bits)
+        assert got[i]["lang_pred"] == sorted(train)[int(np.argmin(bits))] and got[i]["score"] == pytest.approx(share, rel=1e-9), t
+
+
+def test_copies_teach_once(spark):
+    rows = [("one text of which there are many copies " * 20, "aa")] * 200 + [(f"wort nummer {i} steht hier", "bb") for i in range(300)] + [(f"word number {i} is here", "aa") for i in range(300)]
+    trees = langid.learn(spark.createDataFrame(rows, "text string, lang string"), train_bytes=16_000)
+    assert langid.identify(spark.createDataFrame([("number 5 is",), ("nummer 5 steht",)], "text string"), trees).select("lang_pred").collect() == [("aa",), ("bb",)]
+
+
 def test_language_edges(spark):
     df = documents(spark, [*ODD, LONG, "1234 !!", "1234 !!"])
     trees = langid.learn(spark.createDataFrame([("hello there", "en"), ("x", None), (None, "de")], "text string, lang string"))
@@ -277,6 +353,44 @@ def test_chat_folding(spark):
     assert chat.read_back(chat.format_chats(df.limit(0))).count() == 0
 
 
+def test_chat_edges(spark):
+    long = "word [x] & </s>\n" * 100_000
+    rows = [(1, 0, 0, "message", "user", long, 3), (1, 1, 1, "message", "assistant", long, 4), (2, 0, 7, "message", "user", "a", 0), (2, 0, 7, "message", "user", "b", 0), (2, 0, 7, "delta", "user", "c", 0), (3, 0, 0, None, None, None, 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, seq long, kind string, role string, text string, formatted int")
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_chats(df.repartition(3))).collect()}
+    assert [t["text"] for t in got[1]["turns"]] == [long, long] and got[1]["loss_text"] == long
+    assert [t["text"] for t in got[2]["turns"]] == ["c", "a", "b"]  # a tie of seq goes by kind, role and text: the delta opens
+    assert [tuple(t) for t in got[3]["turns"]] == [("", "")]
+
+
+def test_events_of_the_table(spark):
+    """The conversations as streams of deltas, edits and regenerations, folded back to what they were."""
+    rng = random.Random(4)
+    rows = spark.read.parquet(f"{SF}/conversations.parquet").collect()
+    log, seq = [], 0
+    for r in rows:
+        text, events = r["text"] or "", []
+        cut = sorted(rng.randrange(len(text) + 1) for _ in range(3))
+        parts = [text[: cut[0]], text[cut[0] : cut[1]], text[cut[1] : cut[2]], text[cut[2] :]]
+        way = rng.randrange(4)
+        if way == 0:
+            events = [("message", parts[0]), *(("delta", p) for p in parts[1:])]
+        elif way == 1:
+            events = [("message", "wrong"), ("delta", " too"), ("edit", parts[0]), *(("delta", p) for p in parts[1:])]
+        elif way == 2:
+            events = [("message", "wrong"), ("regenerate", None), *(("delta", p) for p in parts)]
+        else:
+            events = [("message", "wrong"), ("delete", None), ("regenerate", parts[0]), ("delta", "".join(parts[1:]))]
+        for kind, own in events:
+            log.append((r["conv_id"], r["turn"], seq, kind, r["role"] if kind == "message" else None, own))
+            seq += 1
+    rng.shuffle(log)
+    schema = "conv_id long, turn long, seq long, kind string, role string, text string"
+    plain = spark.createDataFrame([(r["conv_id"], r["turn"], 0, "message", r["role"], r["text"]) for r in rows], schema)
+    a, b = ({r["conv_id"]: (r["formatted"], r["loss_text"]) for r in chat.read_back(chat.format_chats(x)).collect()} for x in (spark.createDataFrame(log, schema), plain))
+    assert a == b
+
+
 # ---- 6
 
 
@@ -329,6 +443,46 @@ def test_jaccard_groups(spark, seed, monkeypatch):
     assert sorted(r["doc_id"] for r in kept) == sorted({c for _, _, c in got}) and kept[0]["n"] == "own"
 
 
+def test_large_group_of_near_copies(spark):
+    """2,000 variants of a text that partly don't link with it, and of one of its variants, over many tasks."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(400)}"
+    first = [word() for _ in range(120)]
+    second = first[:70] + [word() for _ in range(50)]
+    texts = []
+    for k in range(2000):
+        own = list(first if k % 3 else second)
+        for _ in range(rng.randrange(9)):
+            own[rng.randrange(120)] = rng.choice(["typo", word(), f"own{k}"])
+        texts.append(" ".join(own[: rng.choice([120, 120, 120, 100, 90])]))
+    ids = rng.sample(range(10_000), len(texts))
+    got = sorted(tuple(r) for r in jaccard.jaccard_groups(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(7)).collect())
+    shingle: dict = {}
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({shingle.setdefault(tuple(w[i : i + 5]), len(shingle)) for i in range(len(w) - 4)})
+    has, size = np.zeros((len(sets), len(shingle)), np.float32), np.array([len(s) for s in sets])
+    for row, s in zip(has, sets, strict=True):
+        row[list(s)] = 1
+    link = 175 * (has @ has.T) >= 75 * (size[:, None] + size[None])
+    label = np.array(ids)
+    while True:
+        low = np.array([label[own].min() for own in link])
+        if (low == label).all():
+            break
+        label = low
+    assert 1 < len(set(label.tolist())) < 2000
+    assert got == sorted(zip(ids, size.tolist(), label.tolist(), strict=True))
+
+
+def test_one_of_each_goes_by_rows(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, a), (2, a + " x"), (5, b), (None, a), (None, b + " y"), (None, "lone words of a row without an id"), (None, "lone words of a row without an id"), (7, "z"), (7, "z"), (9, ""), (9, ""), (None, None)]
+    kept = sorted((r["doc_id"] or -1, r["text"] or "") for r in jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == sorted([(2, a + " x"), (5, b), (-1, "lone words of a row without an id"), (7, "z"), (9, ""), (9, ""), (-1, "")])
+
+
 def test_jaccard_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.jaccard_groups(empty).count() == 0 and jaccard.one_of_each(empty).count() == 0
@@ -391,6 +545,90 @@ def test_quality(spark):
     assert sum(r["keep"] for r in good) / len(good) > 0.97 and sum(r["keep"] for r in bad) / len(bad) < 0.1
 
 
+def brute_posteriors(rows):
+    """``rows`` of host, path and p: host rate, path rate and posterior of each, by plain loops."""
+    clip, odds = lambda p: min(max(p, 1e-6), 1 - 1e-6), lambda p: np.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    by_host, by_path = {}, {}
+    for h, q, p in rows:
+        by_host.setdefault(h, []).append(p)
+        by_path.setdefault((h, q), []).append(p)
+    rate = clip((sum(p for _, _, p in rows) + 1) / (len(rows) + 2))
+
+    def strength(groups, around):
+        n = sum(map(len, groups.values()))
+        spread = sum(len(g) * (sum(g) / len(g) - around(k)) ** 2 for k, g in groups.items()) / n
+        noise = len(groups) / n * rate * (1 - rate)
+        return min(max(rate * (1 - rate) / max(spread - noise, 1e-6) - 1, 2.0), 1e6)
+
+    a = strength(by_host, lambda k: rate)
+    host = {h: (sum(g) + a * rate) / (len(g) + a) for h, g in by_host.items()}
+    b = strength(by_path, lambda k: host[k[0]])
+    path = {k: (sum(g) + b * host[k[0]]) / (len(g) + b) for k, g in by_path.items()}
+    return [(host[h], path[h, q], 1 / (1 + np.exp(-(np.log(p / (1 - p)) + odds(path[h, q]) - odds(rate))))) for h, q, p in rows]
+
+
+def test_quality_query_by_brute_force(spark):
+    """Site rates and posteriors of the whole query by plain loops, features and evidence text by text."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source", "lang")
+    got = {r["doc_id"]: r for r in Q.op8_quality(spark, SF).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    want = brute_posteriors([(r["source"], r["lang"], got[r["doc_id"]]["doc_score"]) for r in rows])
+    for r, (host, path, score) in zip(rows, want, strict=True):
+        own = got[r["doc_id"]]
+        assert (own["host_rate"], own["path_rate"], own["score"]) == pytest.approx((host, path, score), abs=1e-6) and own["keep"] == (own["score"] >= 0.5)
+    model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    bucket = {}
+    for r in rows:
+        raw = (r["text"] or "").encode()
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", raw.lower())
+        for w in set(words) - set(bucket):
+            bucket[w] = int(quality.C.Words(np.frombuffer(w, np.uint8), np.array([0, len(w)]), quality.OWN).hashes()[0] >> np.uint64(64 - quality.BITS))
+        kinds = [bucket[w] for w in words]
+        times = {k: kinds.count(k) for k in set(kinds)}
+        share = [sum(c in group for c in raw) / max(len(raw), 1) for group in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#$%&*+/<=>@\\^_`{}~", b"|!", b"\n", bytes(range(128, 256)))]
+        n = max(len(words), 1)
+        stats = [*share, sum(x == y for x, y in zip(kinds, kinds[1:])) / n, len(times) / n * np.log1p(n) / 7, max(times.values(), default=0) / n]
+        z = sum(model.weights[k] for k in times) + sum((x - m) / s * w for x, m, s, w in zip(stats, model.mean, model.scale, model.dense, strict=True)) + model.bias
+        assert got[r["doc_id"]]["doc_score"] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-6)
+
+
+def test_fit_is_at_the_least_loss():
+    """The trained weights leave no gradient worth following, by a plain dense computation."""
+    rng = np.random.default_rng(0)
+    good = rng.random(300) < 0.4
+    kinds = [np.unique(rng.integers(0, 30, 8) + 10 * g) for g in good]
+    stats = rng.normal(size=(300, quality.STATS)) + good[:, None] * 0.3
+    model = quality.fit(kinds, stats, good, steps=3000)
+    x = np.zeros((300, 1 << 6))
+    for row, k in zip(x, kinds, strict=True):
+        row[k] = 1
+    dense = np.clip((stats - stats.mean(axis=0)) / (stats.std(axis=0) + 1e-6), -20, 20)
+    z = x @ model.weights[: 1 << 6] + dense @ model.dense + model.bias
+    weight = np.where(good, 0.5 / good.sum(), 0.5 / (~good).sum())
+    error = weight * (1 / (1 + np.exp(-z)) - good)
+    assert np.abs(dense.T @ error + 3e-4 * model.dense).max() < 2e-3 and abs(error.sum()) < 2e-3
+    assert np.abs((x.T @ error + 3e-4 * model.weights[: 1 << 6])[model.weights[: 1 << 6] != 0]).max() < 2e-3
+
+
+def test_sites_of_urls(spark):
+    urls = ["https://WWW.Example.org/blog/a?x=1", "http://example.org", "https://u:p@sub.example.org:81//x", "no url", None, ""]
+    host, path = quality.site_of(F.col("url"))
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select(host.alias("h"), path.alias("p")).collect()
+    assert [tuple(r) for r in rows[:3]] == [("example.org", "blog"), ("example.org", ""), ("sub.example.org", "x")] and [r["h"] for r in rows[3:]] == [None] * 3
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), "url")
+    labels = pages.select("doc_id", (F.col("doc_id") % 2).alias("quality"), F.lit(0).alias("toxic"))
+    got = quality.classify(pages, labels, *quality.site_of(F.col("url")))
+    assert got.count() == pages.count()
+
+
+def test_repeated_ids_teach_the_same(spark):
+    rows = [(i, f"good plain words {i}", "s") for i in range(30)] + [(i, f"%%% $$$ bad {i}", "s") for i in range(30, 60)] + [(5, "%%% other text of id five", "s")]
+    labels = spark.createDataFrame([(i, int(i < 30), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    models = [quality.train(spark.createDataFrame(random.Random(k).sample(rows, len(rows)), "doc_id long, text string, source string").repartition(k), labels) for k in (1, 3)]
+    assert np.array_equal(models[0].weights, models[1].weights) and models[0].bias == models[1].bias
+
+
 def test_site_rates_shrink(spark):
     rows = [("big", "p", 1.0)] * 300 + [("big", "q", 0.0)] * 300 + [("low", None, 0.0)] * 400 + [("tiny", "p", 1.0)]
     sites, rate = quality.site_rates(spark.createDataFrame(rows, "host string, path string, p double"))
