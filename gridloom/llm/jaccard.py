@@ -54,6 +54,7 @@ NUM, DEN = 75, 100
 BATCH_TOKENS = 1 << 20
 BUCKET_TOKENS = 1 << 20
 SALT_ROWS = 1 << 16
+SALTS = 32
 REFERENCE_ROWS = 256  # members that meet one copy of their reference's set
 FILTER_BITS = 26
 SUFFIX_CELLS = 256
@@ -458,15 +459,25 @@ def components(edges: DataFrame) -> DataFrame:
         now = C.materialise(pick(small))
 
 
+def with_facts(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Each row with the facts of its ``key``, where there are any (one row of facts for each key).  Facts
+    are broadcast if a count shows that they are few, else copied ``SALTS`` times: no key is one task's."""
+    facts = C.materialise(facts)
+    if facts.count() <= BROADCAST_IDS:
+        return rows.join(F.broadcast(facts), key)
+    salted = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"]).drop("salt")
+
+
 def open_groups(groups: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
     """``gid``, ``d``, ``c``: the members, with their components, of groups that span several, without
     members that can link with no size in their group."""
-    least = groups.groupBy("gid").agg(F.min("n").alias("low"))
+    here = C.materialise(groups.join(found, "d", "left").select("gid", "d", "n", "s", F.coalesce("comp", "d").alias("c")))
+    parted = lambda df, *more: df.groupBy("gid").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), *more).filter("c0 <> c1").drop("c0", "c1")
+    several = with_facts(here, parted(here, F.min("n").alias("low")), "gid")
     partner = F.greatest("low", F.ceil(F.col("n") * num / den))
-    able = groups.join(least, "gid").filter(F.col("s") >= F.ceil((F.col("n") + partner) * num / (num + den)))
-    here = C.materialise(able.join(found, "d", "left").select("gid", "d", F.coalesce("comp", "d").alias("c")))
-    parted = here.groupBy("gid").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("gid")
-    return here.join(parted, "gid", "left_semi")
+    able = C.materialise(several.filter(F.col("s") >= F.ceil((F.col("n") + partner) * num / (num + den))).select("gid", "d", "c"))
+    return with_facts(able, parted(able), "gid")
 
 
 def with_reference(members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -480,7 +491,7 @@ def with_reference(members: DataFrame, pairs: DataFrame) -> DataFrame:
     met = members.join(own, "d", "left").select("gid", "d", "c", F.coalesce("m", F.struct(F.lit(0).cast("long").alias("k"), F.col("d").alias("b"))).alias("m"))
     met = C.materialise(met)
     refs = met.groupBy("gid").agg(F.max("m").alias("r")).select("gid", F.col("r.b").alias("ref"))
-    return C.materialise(met.join(refs, "gid").select("ref", "d", "c").distinct())
+    return C.materialise(with_facts(met, refs, "gid").select("ref", "d", "c").distinct())
 
 
 def differences(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -503,9 +514,9 @@ def differences(members: DataFrame, sets: DataFrame, num: int, den: int) -> Data
             flat = pa.array(np.concatenate(t) if t else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("ref", "d", "c")), *(pa.array(x, pa.int64()) for x in (g, limit, m)), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["ref", "d", "c", "g", "limit", "m", "t"])
 
-    parts = members.groupBy("ref").agg(F.expr(f"int(count(*) div {REFERENCE_ROWS}) + 1").alias("parts"))
+    parts = C.materialise(members.groupBy("ref").agg(F.expr(f"int(count(*) div {REFERENCE_ROWS}) + 1").alias("parts")))
     copies = parts.join(sets, parts["ref"] == sets["d"]).select("ref", F.col("own").alias("y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    dealt = members.join(parts, "ref").withColumn("part", F.pmod(F.xxhash64("d"), F.col("parts")).cast("int"))
+    dealt = with_facts(members, parts, "ref").withColumn("part", F.pmod(F.xxhash64("d"), F.col("parts")).cast("int"))
     both = dealt.join(sets.select("d", F.col("own").alias("x")), "d").join(copies, ["ref", "part"]).select("ref", "d", "c", "x", "y")
     return C.materialise(C.map_arrow(both, run, "ref long, d long, c long, g long, limit long, m long, t array<long>"))
 
@@ -514,7 +525,7 @@ def pairs_of_differences(diff: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs ``a`` < ``b`` of different components that may link, by prefixes of their differences."""
     far = F.col("g") > F.col("limit")  # not linked with the reference
     asked = diff.filter(far).select("ref").distinct()
-    diff = diff.withColumn("far", far).join(asked, "ref", "left_semi")
+    diff = with_facts(diff.withColumn("far", far), asked, "ref")
     token = diff.select("ref", "d", "c", "g", "limit", "m", "far", F.explode("t").alias("t"))
     counts = token.groupBy("ref", "t").agg(F.count("*").alias("k"), F.max("far").alias("any")).filter("k > 1 and any").select("ref", "t", "k")
     known = token.join(counts, ["ref", "t"]).groupBy("ref", "d", "c", "g", "limit", "m", "far").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("ts"))
