@@ -55,6 +55,7 @@ BATCH_TOKENS = 1 << 20
 BUCKET_TOKENS = 1 << 20
 SALT_ROWS = 1 << 16
 SALTS = 32
+LARGE = 1024
 REFERENCE_ROWS = 256  # members that meet one copy of their reference's set
 FILTER_BITS = 26
 SUFFIX_CELLS = 256
@@ -571,8 +572,14 @@ def placed_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 def jaccard_groups(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` for each row of ``docs`` (``doc_id``, ``text``)."""
     placed = placed_rows(docs, k, num, den)
-    named = placed.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("least_id"))
-    return placed.join(named, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"))
+    named = placed.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
+    named = C.materialise(named)
+    large = max(LARGE, placed.count() // (LARGE * 64))  # at most LARGE * 64 components are larger
+    hot = F.broadcast(named.filter(F.col("copies") > large).select("c", F.col("least_id").alias("hot_id"), F.lit(True).alias("hot")))
+    marked = placed.join(hot, "c", "left")  # no component, however large, meets in one task
+    rest = marked.filter("hot is null and c is not null").drop("hot_id").join(named.filter(F.col("copies") <= large).select("c", F.col("least_id").alias("hot_id")), "c")
+    done = marked.filter("hot or c is null").unionByName(rest)
+    return done.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("hot_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
