@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gridloom.config import MapConfig
 from gridloom.functions.lattice import ROOT3
 from gridloom.operators.bmu import vectors_of
+from gridloom.operators.prepare import folded, shuffle_key
 
 
 def unit_vectors(config: MapConfig, features: int) -> np.ndarray:
@@ -21,31 +22,42 @@ def unit_vectors(config: MapConfig, features: int) -> np.ndarray:
 
 
 def sample_rows(df: DataFrame, config: MapConfig, features: str = "features", row_id: str = "row_id") -> np.ndarray:
-    """Neurons as data rows, drawn with replacement from the K rows that a hash of the id puts first."""
-    order = F.xxhash64(row_id, F.lit(config.seed))
+    """Neurons as data rows without replacement: the first K in the shuffled order of their ids.
+
+    Fewer rows than neurons are gone through again and again.
+    """
+    order = shuffle_key(F.col(row_id).cast("long"), 0, config.seed)
     rows = [r[0] for r in df.orderBy(order, row_id).select(features).limit(config.neurons).collect()]
     if not rows:
         raise ValueError("there are no rows to start from")
-    at = np.random.default_rng(config.seed).integers(0, len(rows), config.neurons) if len(rows) < config.neurons else np.random.default_rng(config.seed).permutation(config.neurons)
-    return np.array(rows, dtype=float)[at]
+    return np.array(rows, dtype=float)[np.arange(config.neurons) % len(rows)]
 
 
 def moments(df: DataFrame, features: str = "features") -> tuple[int, np.ndarray, np.ndarray]:
-    """Row count, column sums and Gram matrix in one pass of F x F partial sums for each task."""
-    passed = df.select(features)
+    """Row count, column sums and Gram matrix: one pass of F x F partial sums, added on executors."""
+
+    def packed(n: int, total: np.ndarray, gram: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary()), pa.array([gram.tobytes()], pa.binary())], names=["n", "total", "gram"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total, gram = 0, None, None
+        n, total, gram = 0, 0.0, 0.0
         for batch in batches:
             x = vectors_of(batch.column(0))
             if len(x):
-                n += len(x)
-                total = x.sum(axis=0) + (0 if total is None else total)
-                gram = x.T @ x + (0 if gram is None else gram)
+                n, total, gram = n + len(x), total + x.sum(axis=0), gram + x.T @ x
+        if n:
+            yield packed(n, total, gram)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, gram = 0, 0.0, 0.0
+        for batch in batches:
+            for r in batch.to_pylist():
+                n, total, gram = n + r["n"], total + np.frombuffer(r["total"]), gram + np.frombuffer(r["gram"])
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary()), pa.array([gram.tobytes()], pa.binary())], names=["n", "total", "gram"])
+            yield packed(n, total, gram)
 
-    rows = passed.mapInArrow(run, "n long, total binary, gram binary").collect()
+    schema = "n long, total binary, gram binary"
+    rows = folded(df.select(features).mapInArrow(run, schema), fold, schema).collect()
     if not rows:
         raise ValueError("there are no rows")
     total = sum(np.frombuffer(bytes(r["total"])) for r in rows)

@@ -53,9 +53,10 @@ def metric_map(neurons: DataFrame, bmus: DataFrame, target: str, reduction: str)
 
 def score_map(neurons: DataFrame, bmus: DataFrame, target: str, total: int | None = None) -> DataFrame:
     """Standard error times log of the inverse share of rows, at least ``FLOOR``; lower is better."""
-    n = F.lit(float(bmus.count() if total is None else total))
-    score = F.greatest(deviation() / F.sqrt("n") * F.log(n / F.col("n")), F.lit(FLOOR))
-    return on_grid(neurons, _by_neuron(bmus, target), F.when(F.col("n") > 1, score).when(F.col("n") == 1, F.lit(FLOOR)))
+    stats = _by_neuron(bmus, target)
+    stats = stats.withColumn("all", F.sum("n").over(Window.partitionBy()) if total is None else F.lit(total))  # over K rows
+    score = F.greatest(deviation() / F.sqrt("n") * F.log(F.col("all") / F.col("n")), F.lit(FLOOR))
+    return on_grid(neurons, stats, F.when(F.col("n") > 1, score).when(F.col("n") == 1, F.lit(FLOOR)))
 
 
 def rank_map(neurons: DataFrame, bmus: DataFrame, target: str) -> DataFrame:

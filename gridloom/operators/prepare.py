@@ -27,6 +27,15 @@ def standardize(df: DataFrame, columns: list[str], sample: bool = False) -> Data
     return df.crossJoin(F.broadcast(stats)).withColumns(z).select(*df.columns)
 
 
+MANY_TASKS = 64
+
+
+def folded(parts: DataFrame, fold, schema: str) -> DataFrame:
+    """Partial results of many tasks, folded on executors first: the driver gets a few of them only."""
+    tasks = parts.rdd.getNumPartitions()
+    return parts if tasks <= MANY_TASKS else parts.repartition(max(2, int(tasks**0.5) // 4)).mapInArrow(fold, schema)
+
+
 def vector_moments(df: DataFrame, vector: str = "features") -> tuple[int, np.ndarray, np.ndarray]:
     """Row count, and mean and sum of squared deviations of each component: one small row for each task."""
 
@@ -47,8 +56,17 @@ def vector_moments(df: DataFrame, vector: str = "features") -> tuple[int, np.nda
         if got:
             yield pa.RecordBatch.from_arrays([pa.array([got[0]]), pa.array([got[1].tobytes()], pa.binary()), pa.array([got[2].tobytes()], pa.binary())], names=["n", "mean", "m2"])
 
-    total = None
-    for r in df.select(F.col(vector).cast("array<double>").alias(vector)).mapInArrow(run, "n long, mean binary, m2 binary").collect():
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = None
+        for batch in batches:
+            for r in batch.to_pylist():
+                got = merged(got, (r["n"], np.frombuffer(r["mean"]), np.frombuffer(r["m2"])))
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array([got[0]]), pa.array([got[1].tobytes()], pa.binary()), pa.array([got[2].tobytes()], pa.binary())], names=["n", "mean", "m2"])
+
+    total, schema = None, "n long, mean binary, m2 binary"
+    parts = df.select(F.col(vector).cast("array<double>").alias(vector)).mapInArrow(run, schema)
+    for r in folded(parts, fold, schema).collect():
         total = merged(total, (r["n"], np.frombuffer(bytes(r["mean"])), np.frombuffer(bytes(r["m2"]))))
     return total or (0, np.zeros(0), np.zeros(0))
 
@@ -62,11 +80,34 @@ def standardize_vectors(df: DataFrame, vector: str = "features", sample: bool =
     return df.withColumn(vector, F.zip_with(centred, values(np.where(spread == 0, 1.0, spread)), lambda a, b: a / b)) if n else df
 
 
+BROADCAST_VALUES = 1_000_000
+
+
 def encode_labels(df: DataFrame, column: str, out: str = "label") -> DataFrame:
-    """Numbers from 1 in order of the distinct values, which are few; nulls stay null."""
-    known = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    codes = known.select(F.col(column).alias("__value"), F.row_number().over(Window.orderBy(column)).alias(out))
-    return df.join(F.broadcast(codes), df[column] == codes["__value"], "left").drop("__value")
+    """Numbers from 1 in order of the distinct values; nulls stay null.
+
+    Up to ``BROADCAST_VALUES`` values are numbered by one window and broadcast; more are sorted by ranges,
+    numbered by their place in a range after the ranges before it, and joined by a shuffle.
+    """
+    known = df.select(F.col(column).alias("__value")).filter(F.col("__value").isNotNull()).distinct()
+    if known.count() <= BROADCAST_VALUES:
+        codes = F.broadcast(known.select("__value", F.row_number().over(Window.orderBy("__value")).alias(out)))
+    else:
+        codes = numbered(known, ["__value"]).withColumn("__n", F.col("__n").cast("int")).withColumnRenamed("__n", out)
+    return df.join(codes, df[column] == codes["__value"], "left").drop("__value")
+
+
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ``__n``, each row's number from 1 in an order, without one task that sees all rows.
+
+    The ranges are cached, as both uses of them must see the same ones.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()).persist()
+    part = F.shiftright("__at", 33)
+    sizes = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))  # one row for each task
+    before = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    joined = ranged.withColumn("__part", part).join(F.broadcast(before), "__part")
+    return joined.withColumn("__n", F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).drop("__at", "__part", "__before")
 
 
 def split_order(row_id: Column, seed: int = 0) -> Column:
@@ -77,21 +118,18 @@ def split_order(row_id: Column, seed: int = 0) -> Column:
 def train_test_split(df: DataFrame, row_id: str = "row_id", share: float = 0.8, seed: int = 0) -> DataFrame:
     """``df`` with ``is_train``: the first floor(share * N) rows in shuffled order.
 
-    The cut is found from counts by key, not by ranking all rows in one task: only rows that share the
-    cut's key are ranked.
+    The cut is found from counts by key and, among rows of the cut's key, by one row id; rows are not
+    ranked.  Rows of one id stay on one side, also where that makes the share a little larger.
     """
     key = split_order(F.col(row_id), seed)
-    by_key = df.groupBy(key.alias("__k")).count()
-    n = df.count()
-    want = int(share * n)
-    before = by_key.withColumn("__part", F.col("__k") % 64).groupBy("__k").agg(F.sum("count").alias("c"))
-    cut = before.select("__k", "c", F.sum("c").over(Window.orderBy("__k")).alias("upto")).filter(F.col("upto") > want).orderBy("__k").first()
+    counts = df.groupBy(key.alias("__k")).agg(F.count("*").alias("c"))  # 1,000,003 keys at most
+    running = counts.select("__k", "c", F.sum("c").over(Window.orderBy("__k")).alias("upto"), F.sum("c").over(Window.partitionBy()).alias("n"))
+    cut = running.filter(F.col("upto") > F.floor(F.col("n") * share)).orderBy("__k").first()
     if cut is None:
         return df.withColumn("is_train", F.lit(True))
-    room = want - (cut["upto"] - cut["c"])
-    edge = df.filter(key == cut["__k"]).select(F.col(row_id).alias("__id"), F.row_number().over(Window.orderBy(row_id)).alias("__r")).filter(F.col("__r") <= room).select("__id")
-    inside = [r[0] for r in edge.collect()]
-    return df.withColumn("is_train", (key < cut["__k"]) | ((key == cut["__k"]) & F.col(row_id).isin(inside)))
+    room = int(share * cut["n"]) - (cut["upto"] - cut["c"])
+    last = df.filter(key == cut["__k"]).orderBy(row_id).limit(room).agg(F.max(row_id)).first()[0] if room else None
+    return df.withColumn("is_train", (key < cut["__k"]) | ((key == cut["__k"]) & (F.col(row_id) <= last) if room else F.lit(False)))
 
 
 def drop_nan_rows(df: DataFrame, vector: str = "features") -> DataFrame:
@@ -107,14 +145,24 @@ def grid_cell(neuron: Column, y: int) -> tuple[Column, Column]:
     return F.floor(neuron / y).cast("int"), (neuron % y).cast("int")
 
 
-def flat_id(row: Column, col: Column, y: int) -> Column:
-    return (row * y + col).cast("int")
+BATCH_PRIME = (1 << 31) - 1
 
 
-def shuffled_batches(df: DataFrame, batch_size: int, epoch: int, seed: int = 0, row_id: str = "row_id") -> DataFrame:
-    """``df`` with ``batch``: batches of about ``batch_size`` rows in an order of their own each epoch.
+def shuffle_key(row_id, epoch: int, seed: int = 0):
+    """A shuffled order of ids for an epoch, of a Column or an array, that other engines can compute too:
+    a permutation of the residues by a power of a generator of the prime field."""
+    return ((row_id % BATCH_PRIME) + 1) * pow(48271, epoch + seed + 1, BATCH_PRIME) % BATCH_PRIME
 
-    A row's batch is a hash of its id, so no global ranking is needed.
+
+def batch_number(row_id, batches: int, epoch: int, seed: int = 0):
+    """Which of an epoch's batches a row is in, by its id: the one rule of mini-batches everywhere.
+
+    No global ranking is needed, batches are of about one size, and rows of one id stay together.
     """
+    return shuffle_key(row_id, epoch, seed) % batches
+
+
+def shuffled_batches(df: DataFrame, batch_size: int, epoch: int, seed: int = 0, row_id: str = "row_id") -> DataFrame:
+    """``df`` with ``batch``: batches of about ``batch_size`` rows in an order of their own each epoch."""
     n = max(1, -(-df.count() // batch_size))
-    return df.withColumn("batch", F.pmod(F.xxhash64(row_id, F.lit(epoch), F.lit(seed)), F.lit(n)).cast("int"))
+    return df.withColumn("batch", batch_number(F.col(row_id).cast("long"), n, epoch, seed).cast("int"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.distances import COLUMNS
+from gridloom.operators.prepare import numbered
 
 MODES = ("bmu_only", "bmu_neighborhood", "bmu_neighborhood_knn")
 
@@ -45,13 +46,20 @@ def unit_tiers(units: DataFrame, index: DataFrame, codebook: DataFrame, neighbor
 def collect_samples(queries: DataFrame, index: DataFrame, codebook: DataFrame, neighbors: DataFrame, mode: str = "bmu_neighborhood_knn", threshold: int = 50, distance: str = "euclidean", historical: DataFrame | None = None) -> DataFrame:
     """``query_id``, ``tier``, ``seq`` (from 1), ``row_id``, and the columns of ``historical`` by ``row_id``.
 
-    ``queries``: ``query_id``, ``bmu``.  ``index``: ``neuron_id``, ``row_id``.
+    ``queries``: ``query_id``, ``bmu``.  ``index``: ``neuron_id``, ``row_id``.  Rows are numbered by ranges of
+    (neuron, row id) and get their place by adding where their neuron begins in a unit's tiers; tables of
+    units and neurons (K x K rows at most) are broadcast.
     """
     units = queries.select("bmu").distinct()
-    tiers = unit_tiers(units, index, codebook, neighbors, mode, threshold, distance)
-    rows = tiers.join(index, "neuron_id").select("bmu", "tier", "place", "neuron_id", "row_id")
-    order = Window.partitionBy("bmu").orderBy("tier", "place", "neuron_id", "row_id")
-    found = queries.select("query_id", "bmu").join(rows.withColumn("seq", F.row_number().over(order)), "bmu").select("query_id", "tier", "seq", "row_id")
+    tiers = unit_tiers(units, index, codebook, neighbors, mode, threshold, distance).persist()
+    rows = index.join(F.broadcast(tiers.select("neuron_id").distinct()), "neuron_id", "left_semi").select("neuron_id", "row_id")
+    rows = numbered(rows, ["neuron_id", "row_id"])  # over all neurons, so that no neuron is one task
+    first = rows.groupBy("neuron_id").agg(F.min("__n").alias("first"), F.count("*").alias("n"))
+    order = Window.partitionBy("bmu").orderBy("tier", "place", "neuron_id")
+    ahead = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = tiers.join(first, "neuron_id").select("bmu", "neuron_id", "tier", (ahead - F.col("first") + 1).alias("shift"))
+    each = rows.join(F.broadcast(starts), "neuron_id").select("bmu", "tier", (F.col("__n") + F.col("shift")).alias("seq"), "row_id")
+    found = queries.select("query_id", "bmu").join(each, "bmu").select("query_id", "tier", "seq", "row_id")
     return found if historical is None else found.join(historical, "row_id")
 
 

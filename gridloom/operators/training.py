@@ -6,8 +6,10 @@ K x F partial sums.  The errors after update t come from the winners of pass t +
 passes for T epochs.  The Gaussian kernel is a product over the axes and is applied axis by axis.
 
 "local" collects the rows once and runs the same arithmetic in NumPy; "auto" takes it only below
-``LOCAL_CELLS`` values.  The distributed path packs the rows once into cached binary blocks; a pass
-reads those, and partial sums of many tasks are added on executors before they reach the driver.
+``LOCAL_CELLS`` values, and gives the same weights either way.  The distributed path packs the rows once
+into cached binary blocks; a pass reads those, and partial sums of many tasks are added on executors
+before they reach the driver.  A mini-batch is a set of rows that ``prepare.batch_number`` names by their
+ids, at every size and in both ways; an epoch deals the blocks by batch once, so a batch reads its own.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from gridloom.functions.neighborhoods import NEIGHBORHOODS
 from gridloom.functions.schedules import schedules
 from gridloom.operators.bmu import check_features, row_blocks, vectors_of
 from gridloom.operators.codebook import initial_weights
+from gridloom.operators.prepare import batch_number
 from gridloom.operators.quality import ADJACENT
 
 LOCAL_CELLS = 32_000_000
@@ -111,27 +114,56 @@ def fit_passes(one_pass: Callable[[np.ndarray], Sums], w: np.ndarray, config: Ma
     return w, history
 
 
-def batch_order(n: int, epoch: int, seed: int) -> np.ndarray:
-    """A deterministic order of n rows for an epoch."""
-    return np.random.default_rng([seed, epoch]).permutation(n)
-
-
-def fit_batches(x: np.ndarray, w: np.ndarray, config: MapConfig) -> tuple[np.ndarray, list[tuple[int, float, float]]]:
-    """Mini-batch training in memory: sequential updates, errors on each batch after its update."""
+def fit_batches(batch_passes: Callable[[int], Iterator[Callable[[np.ndarray], Sums]]], w: np.ndarray, config: MapConfig) -> tuple[np.ndarray, list[tuple[int, float, float]]]:
+    """Mini-batch training: sequential updates, errors on each batch after its update; ``batch_passes`` gives
+    an epoch's batches as passes over their rows.  Batches without rows are left out."""
     smooth, history = Smoother(config), []
     plan = schedules(config.epochs, (config.lr_decay, config.learning_rate), (config.sigma_decay, config.sigma))
     for epoch, (lr, sigma) in enumerate(plan):
-        order, qe, te = batch_order(len(x), epoch, config.seed), [], []
-        for at in range(0, len(x), config.batch_size):
-            part = x[order[at : at + config.batch_size]]
-            w = updated(w, partial_sums(part, w, config), smooth, lr, sigma)
-            q, t = errors(partial_sums(part, w, config))
-            qe.append(q)
-            te.append(t)
-        history.append((epoch, float(np.mean(qe)), float(np.mean(te))))
+        found = []
+        for one_pass in batch_passes(epoch):
+            sums = one_pass(w)
+            if sums[0].sum():
+                w = updated(w, sums, smooth, lr, sigma)
+                found.append(errors(one_pass(w)))
+        history.append((epoch, *(float(v) for v in np.mean(found, axis=0))))
     return w, history
 
 
+def local_batches(x: np.ndarray, ids: np.ndarray, batches: int, config: MapConfig) -> Callable[[int], Iterator[Callable[[np.ndarray], Sums]]]:
+    def of(epoch: int) -> Iterator[Callable[[np.ndarray], Sums]]:
+        batch = batch_number(ids, batches, epoch, config.seed)
+        for b in range(batches):
+            part = x[batch == b]
+            yield lambda w, part=part: partial_sums(part, w, config)
+
+    return of
+
+
+def distributed_batches(blocks: DataFrame, batches: int, config: MapConfig, tasks: int) -> Callable[[int], Iterator[Callable[[np.ndarray], Sums]]]:
+    """An epoch's blocks are cut and dealt by batch in one exchange and cached; reading one batch skips the
+    cached parts of others by their statistics."""
+
+    def of(epoch: int) -> Iterator[Callable[[np.ndarray], Sums]]:
+        def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                for n, block, ids in zip(*(part.column(c).to_pylist() for c in ("n", "block", "ids")), strict=True):
+                    x = np.frombuffer(block).reshape(n, -1)
+                    batch = batch_number(np.frombuffer(ids, np.int64), batches, epoch, config.seed)
+                    for b in np.unique(batch).tolist():
+                        own = x[batch == b]
+                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([len(own)]), pa.array([own.tobytes()], pa.binary())], names=["batch", "n", "block"])
+
+        dealt = blocks.mapInArrow(cut, "batch int, n long, block binary").repartitionByRange(max(1, tasks), "batch").sortWithinPartitions("batch").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            for b in range(batches):
+                yield distributed_pass(dealt.filter(F.col("batch") == b), config, tasks)
+        finally:
+            dealt.unpersist()
+
+    return of
+
+
 def packed(df: DataFrame, features: str, row_id: str | None = None) -> DataFrame:
     """``n``, ``block`` (and ``ids``): rows as binary blocks, so a pass moves no lists."""
 
@@ -146,8 +178,8 @@ def packed(df: DataFrame, features: str, row_id: str | None = None) -> DataFrame
     return df.select(*([row_id] if row_id else []), features).mapInArrow(run, "n long, block binary, ids binary")
 
 
-def distributed_pass(blocks: DataFrame, config: MapConfig, tasks: int, batch: tuple[int, int, int] | None = None) -> Callable[[np.ndarray], Sums]:
-    """A pass over cached blocks; with ``batch`` = (epoch, batch, batches) only over that batch's rows."""
+def distributed_pass(blocks: DataFrame, config: MapConfig, tasks: int) -> Callable[[np.ndarray], Sums]:
+    """A pass over cached blocks."""
     spark = blocks.sparkSession
 
     def one_pass(w: np.ndarray) -> Sums:
@@ -156,11 +188,9 @@ def distributed_pass(blocks: DataFrame, config: MapConfig, tasks: int, batch: tu
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w, got = shared.value, None
             for part in batches:
-                for n, block, ids in zip(*(part.column(c).to_pylist() for c in ("n", "block", "ids")), strict=True):
+                for n, block in zip(part.column("n").to_pylist(), part.column("block").to_pylist(), strict=True):
                     x = np.frombuffer(block).reshape(n, -1)
                     check_features(x, w)
-                    if batch:
-                        x = x[in_batch(np.frombuffer(ids, np.int64), config.seed, *batch)]
                     if len(x):
                         own = partial_sums(x, w, config)
                         got = own if got is None else tuple(a + b for a, b in zip(got, own, strict=True))
@@ -190,15 +220,6 @@ def distributed_pass(blocks: DataFrame, config: MapConfig, tasks: int, batch: tu
     return one_pass
 
 
-def in_batch(ids: np.ndarray, seed: int, epoch: int, batch: int, batches: int) -> np.ndarray:
-    """Rows whose hashed id falls into a batch of an epoch."""
-    with np.errstate(over="ignore"):
-        h = ids.astype(np.uint64) + np.uint64((seed * 1000003 + epoch * 7919 + 1) & ((1 << 64) - 1)) * np.uint64(0x9E3779B97F4A7C15)
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (h ^ (h >> np.uint64(31))) % np.uint64(batches) == batch
-
-
 def sums_batch(s: Sums) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([s[0].tobytes()], pa.binary()), pa.array([s[1].tobytes()], pa.binary()), pa.array([float(s[2])]), pa.array([float(s[3])])], names=["n", "s", "d", "e"])
 
@@ -221,32 +242,22 @@ def fit(df: DataFrame, config: MapConfig, weights: np.ndarray | None = None, ini
     cells = size["n"] * size["f"]
     local = config.strategy == "local" or config.strategy == "auto" and cells <= LOCAL_CELLS
     w = weights.copy() if weights is not None else initial_weights(rows, config, init, features, row_id)
+    batches = -(-size["n"] // config.batch_size) if config.batch_size else 1
+    if batches > 1 and row_id not in df.columns:
+        raise ValueError("mini-batches need a row id")
     if local:
-        order = [row_id] if row_id in df.columns else []
-        got = rows.orderBy(*order).toArrow() if order else rows.toArrow()
+        got = (rows.orderBy(row_id) if row_id in df.columns else rows).toArrow()
         x = vectors_of(got.column(features))
         check_features(x, w)
-        if config.batch_size and config.batch_size < len(x):
-            return fit_batches(x, w, config)
+        if batches > 1:
+            ids = got.column(row_id).to_numpy().astype(np.int64)
+            return fit_batches(local_batches(x, ids, batches, config), w, config)
         return fit_passes(lambda w: partial_sums(x, w, config), w, config)
-    blocks = packed(rows, features, row_id if row_id in df.columns else None).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = packed(rows, features, row_id if batches > 1 else None).persist(StorageLevel.MEMORY_AND_DISK)
     tasks = blocks.rdd.getNumPartitions()
     try:
-        if not config.batch_size or config.batch_size >= size["n"]:
-            return fit_passes(distributed_pass(blocks, config, tasks), w, config)
-        if row_id not in df.columns:
-            raise ValueError("mini-batches need a row id")
-        smooth, history, batches = Smoother(config), [], -(-size["n"] // config.batch_size)
-        plan = schedules(config.epochs, (config.lr_decay, config.learning_rate), (config.sigma_decay, config.sigma))
-        for epoch, (lr, sigma) in enumerate(plan):
-            found = []
-            for b in range(batches):
-                one_pass = distributed_pass(blocks, config, tasks, (epoch, b, batches))
-                sums = one_pass(w)
-                if sums[0].sum():
-                    w = updated(w, sums, smooth, lr, sigma)
-                    found.append(errors(one_pass(w)))
-            history.append((epoch, *(float(v) for v in np.mean(found, axis=0))))
-        return w, history
+        if batches > 1:
+            return fit_batches(distributed_batches(blocks, batches, config, tasks), w, config)
+        return fit_passes(distributed_pass(blocks, config, tasks), w, config)
     finally:
         blocks.unpersist()

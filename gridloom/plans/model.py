@@ -17,19 +17,21 @@ from gridloom.config import MapConfig
 from gridloom.functions import lattice
 from gridloom.functions.distances import nearest
 from gridloom.operators import bmu, clustering, codebook, maps, quality, retrieval, scores, training
+from gridloom.plans.base import MapModel
 from gridloom.session import ship
-from gridloom.sources import tables
+from gridloom.sources import render, tables
 
 MAP_TYPES = ("hit", "distance", "bmus_data", "metric", "score", "rank", "classification")
 NEEDS_DATA = ("hit", "bmus_data")
 NEEDS_TARGET = ("metric", "score", "rank", "classification")
 
 
-class FeatureMap:
+class FeatureMap(MapModel):
     def __init__(self, spark: SparkSession, config: MapConfig, weights: np.ndarray | None = None, features: str = "features", row_id: str = "row_id"):
         self.spark, self.config, self.features, self.row_id = ship(spark), config, features, row_id
         self.weights = weights if weights is not None else codebook.unit_vectors(config, config.num_features) if config.num_features else None
         self.history: list[tuple[int, float, float]] = []
+        self._cached: list[DataFrame] = []
 
     # ---- training
 
@@ -118,8 +120,9 @@ class FeatureMap:
         return maps.classification_map(neurons, rows, target, self.neighbors(options.get("neighborhood_order")))
 
     def build_maps(self, wanted: list[dict], data: DataFrame, target: str | None = None) -> dict[str, DataFrame]:
-        """Several maps over one cached assignment.  Keys: the type, with its options as JSON if any."""
+        """Several maps over one cached assignment, which ``release`` lets go.  Keys: the type, with its options as JSON if any."""
         rows = self.identify(data).persist()
+        self._cached.append(rows)
         out = {}
         for w in wanted:
             options = w.get("kwargs", {})
@@ -127,6 +130,12 @@ class FeatureMap:
             out[key] = self.build_map(w["type"], data, target, rows, **options)
         return out
 
+    def release(self) -> FeatureMap:
+        """Let go of the assignments that ``build_maps`` cached, once its maps have been read."""
+        while self._cached:
+            self._cached.pop().unpersist()
+        return self
+
     def component_planes(self) -> DataFrame:
         return maps.component_planes(self.codebook())
 
@@ -137,6 +146,22 @@ class FeatureMap:
             wanted += [{"type": "metric", "kwargs": {"reduction": r}} for r in ("mean", "std")] + [{"type": "score"}, {"type": "rank"}]
         return self.build_maps(wanted, data, target) | {"training": self.history_table(), "planes": self.component_planes()}
 
+    def draw_all(self, folder: str, data: DataFrame, target: str | None = None, names: list[str] | None = None) -> list[str]:
+        """The full report as SVG files in a folder of the driver: curves, maps and component planes."""
+        files, every = [], self.all_tables(data, target)
+        planes, history = every.pop("planes"), every.pop("training")
+        if self.history:
+            files.append(render.save_svg(render.curves_svg(history, "epoch", ["qe", "te_pct"], "training"), folder, "training"))
+        for key, cells in every.items():
+            title = key.replace('_{"reduction": "', " ").replace('"}', "")
+            files.append(render.save_svg(render.map_svg(cells, title, self.config.topology), folder, title.replace(" ", "_")))
+        for f in range(self.weights.shape[1]):
+            name = names[f] if names else f"component {f + 1}"
+            cells = planes.filter(F.col("feature") == f)
+            files.append(render.save_svg(render.map_svg(cells, name, self.config.topology, mask_zeros=False, flip=self.config.topology == "rectangular"), folder, name.replace(" ", "_")))
+        self.release()
+        return files
+
     # ---- retrieval and clustering
 
     def index(self, data: DataFrame) -> DataFrame:
@@ -158,6 +183,20 @@ class FeatureMap:
         points = self.spark.createDataFrame(rows, "id int, row int, col int, label int, features array<double>")
         return found, scores.all_scores(points, c.x, c.y, c.topology)
 
+    def compare_clusters(self, wanted: list[dict]) -> DataFrame:
+        """``method``, ``space``, ``n_clusters`` and all scores, one row for each wanted clustering."""
+        out: DataFrame | None = None
+        for w in wanted:
+            found, row = self.cluster(**w)
+            row = row.drop("n_clusters").select(F.lit(found.method).alias("method"), F.lit(w.get("space", "weights")).alias("space"), F.lit(found.n_clusters).alias("n_clusters"), "*")
+            out = row if out is None else out.unionByName(row)
+        if out is None:
+            raise ValueError("there is nothing to compare")
+        return out
+
+    def cluster_map(self, found: clustering.Clustering) -> DataFrame:
+        return clustering.cluster_map(self.spark, found, self.config.y)
+
     # ---- files
 
     def save(self, path: str) -> None:

@@ -388,31 +388,21 @@ def nan_rows(spark, d):
     return prepare.drop_nan_rows(rows).select("row_id")
 
 
-@query("column_covariance", "WITH u AS (SELECT vec_id, i, embedding[i]::DOUBLE AS v FROM embeddings, unnest(range(1, 9)) AS s(i)) SELECT (a.i - 1)::INTEGER AS i, (b.i - 1)::INTEGER AS j, round(covar_samp(a.v, b.v), 6) + 0.0::DOUBLE AS cov FROM u a JOIN u b USING (vec_id) GROUP BY a.i, b.i")
-def column_covariance(spark, d):
-    rows = samples(spark, d).select(F.slice("features", 1, 8).alias("features"))
-    cov = codebook.covariance(*codebook.moments(rows))
-    return spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(cov) for j, v in enumerate(row)], "i int, j int, cov double").withColumn("cov", r6("cov"))
+SQL_U = "WITH u AS (SELECT vec_id, i, embedding[i]::DOUBLE AS v FROM embeddings, unnest(range(1, len(embedding) + 1)) AS s(i))"
 
 
-@query("gram_matrix", "WITH u AS (SELECT vec_id, i, embedding[i]::DOUBLE AS v FROM embeddings, unnest(range(1, 9)) AS s(i)) SELECT (a.i - 1)::INTEGER AS i, (b.i - 1)::INTEGER AS j, round(sum(a.v * b.v), 6) + 0.0::DOUBLE AS gram FROM u a JOIN u b USING (vec_id) GROUP BY a.i, b.i")
-def gram_matrix(spark, d):
-    _, _, gram = codebook.moments(samples(spark, d).select(F.slice("features", 1, 8).alias("features")))
-    return spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(gram) for j, v in enumerate(row)], "i int, j int, gram double").withColumn("gram", r6("gram"))
+def matrix(spark: SparkSession, values: np.ndarray, name: str) -> DataFrame:
+    return spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(values) for j, v in enumerate(row)], f"i int, j int, {name} double").withColumn(name, r6(name))
 
 
-@query("column_covariance_whole")
-def column_covariance_whole(spark, d):
-    """All components; ``column_covariance`` has the first eight, as its SQL reads."""
-    cov = codebook.covariance(*codebook.moments(samples(spark, d)))
-    return spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(cov) for j, v in enumerate(row)], "i int, j int, cov double").withColumn("cov", r6("cov"))
+@query("column_covariance", f"{SQL_U} SELECT (a.i - 1)::INTEGER AS i, (b.i - 1)::INTEGER AS j, round(covar_samp(a.v, b.v), 6) + 0.0::DOUBLE AS cov FROM u a JOIN u b USING (vec_id) GROUP BY a.i, b.i")
+def column_covariance(spark, d):
+    return matrix(spark, codebook.covariance(*codebook.moments(samples(spark, d))), "cov")
 
 
-@query("gram_matrix_whole")
-def gram_matrix_whole(spark, d):
-    """All components; ``gram_matrix`` has the first eight, as its SQL reads."""
-    _, _, gram = codebook.moments(samples(spark, d))
-    return spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(gram) for j, v in enumerate(row)], "i int, j int, gram double").withColumn("gram", r6("gram"))
+@query("gram_matrix", f"{SQL_U} SELECT (a.i - 1)::INTEGER AS i, (b.i - 1)::INTEGER AS j, round(sum(a.v * b.v), 6) + 0.0::DOUBLE AS gram FROM u a JOIN u b USING (vec_id) GROUP BY a.i, b.i")
+def gram_matrix(spark, d):
+    return matrix(spark, codebook.moments(samples(spark, d))[2], "gram")
 
 
 @query("global_std", "SELECT round(stddev_samp(v), 6) AS sd FROM (SELECT unnest(embedding)::DOUBLE AS v FROM embeddings)")
@@ -473,10 +463,47 @@ def fit_history(spark, d):
     return spark.createDataFrame(history, "epoch int, qe double, te_pct double").select("epoch", r6("qe").alias("qe"), r6("te_pct").alias("te_pct"))
 
 
-@query("fit_minibatch")
-def fit_minibatch(spark, d):
-    config = MapConfig(X, Y, epochs=3, batch_size=64, topology="hexagonal", init="random")
-    return long_form(spark, training.fit(samples(spark, d), config)[0])
+BATCHES = 4
+
+
+def sql_key(row_id: str, epoch: int, seed: int = 42) -> str:
+    return f"(({row_id} % {prepare.BATCH_PRIME} + 1) * {pow(48271, epoch + seed + 1, prepare.BATCH_PRIME)} % {prepare.BATCH_PRIME})"
+
+
+def sql_random(neurons: int = X * Y) -> str:
+    """CTEs n0 (rows in shuffled order) and w0 (nid, f, x): a start from rows."""
+    return f"""o0 AS (SELECT row_number() OVER (ORDER BY {sql_key("vec_id", 0)}, vec_id) - 1 AS k, embedding::DOUBLE[] AS v FROM embeddings),
+w0 AS MATERIALIZED (SELECT nid::INTEGER AS nid, f, v[f] AS x FROM range({neurons}) AS g(nid) JOIN o0 ON k = nid % (SELECT count(*) FROM o0), unnest(range(1, len(v) + 1)) AS s(f))"""
+
+
+def sql_minibatch(epochs: int, batches: int, lr: float = 0.5, sigma: float = 1.0) -> tuple[str, int]:
+    """CTEs w0 ... wT of hexagonal training in batches that the shuffled order of ids gives, and T."""
+    gx, gy = "(nid // 5 + 0.5::DOUBLE * (nid // 5 % 2))", "(nid % 5 * (sqrt(3.0::DOUBLE) / 2))"
+    parts, t = [f"{sql_e()}, {sql_random()}, u AS MATERIALIZED (SELECT row_id, f, v[f] AS x FROM e, unnest(range(1, len(v) + 1)) AS s(f))", f"g AS (SELECT nid, {gx} AS gx, {gy} AS gy FROM range({X * Y}) AS r(nid))"], 0
+    for epoch in range(epochs):
+        a, s = lr / (1 + epoch / (epochs / 2)), sigma / (1 + epoch / (epochs / 2))
+        parts.append(f"h_{epoch} AS MATERIALIZED (SELECT p.nid AS k, q.nid AS j, exp(-((p.gx - q.gx) ** 2 + (p.gy - q.gy) ** 2) / (2 * {s}::DOUBLE * {s}::DOUBLE)) AS h FROM g p CROSS JOIN g q)")
+        for b in range(batches):
+            parts += [
+                f"v{t} AS MATERIALIZED (SELECT nid, list(x ORDER BY f) AS w FROM w{t} GROUP BY nid)",
+                f"b{t} AS MATERIALIZED (SELECT row_id, nid FROM (SELECT row_id, nid, row_number() OVER (PARTITION BY row_id ORDER BY list_distance(v, w), nid) AS k FROM e CROSS JOIN v{t} WHERE {sql_key('row_id', epoch)} % {batches} = {b}) WHERE k = 1)",
+                f"s{t} AS MATERIALIZED (SELECT b.nid, f, sum(x) AS s, count(*) AS n FROM b{t} b JOIN u USING (row_id) GROUP BY 1, 2)",
+                f"d{t} AS MATERIALIZED (SELECT k, f, sum(h * s) AS hs, sum(h * n) AS hn FROM h_{epoch} JOIN s{t} ON nid = j GROUP BY k, f)",
+                f"w{t + 1} AS MATERIALIZED (SELECT w.nid, w.f, w.x + {a}::DOUBLE / (SELECT count(*) FROM b{t}) * (coalesce(hs, 0) - coalesce(hn, 0) * w.x) AS x FROM w{t} w LEFT JOIN d{t} ON d{t}.k = w.nid AND d{t}.f = w.f)",
+            ]
+            t += 1
+    return ", ".join(parts), t
+
+
+_SQL, _LAST = sql_minibatch(2, BATCHES)
+for _name, _strategy in (("fit_minibatch", "arrow"), ("fit_minibatch_local", "local")):
+
+    @query(_name, f"WITH {_SQL} SELECT nid AS neuron_id, (f - 1)::INTEGER AS feature, round(x, 6) AS weight FROM w{_LAST}")
+    def _minibatch(spark, d, strategy=_strategy):
+        rows = samples(spark, d)
+        size = -(-rows.count() // BATCHES)
+        config = MapConfig(X, Y, epochs=2, batch_size=size, topology="hexagonal", init="random", strategy=strategy)
+        return long_form(spark, training.fit(rows, config)[0])
 
 
 @query("pca_init")
@@ -484,7 +511,7 @@ def pca_init(spark, d):
     return long_form(spark, codebook.initial_weights(samples(spark, d), MapConfig(X, Y), "pca"))
 
 
-@query("random_init")
+@query("random_init", f"WITH {sql_random()} SELECT nid AS neuron_id, (f - 1)::INTEGER AS feature, round(x, 6) AS weight FROM w0")
 def random_init(spark, d):
     return long_form(spark, codebook.initial_weights(samples(spark, d), MapConfig(X, Y), "random"))
 
@@ -555,17 +582,14 @@ def local_ols(spark, d):
 # ---- clustering and its scores: G7-G14, F18-F26
 
 
-def labelled(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """The codebook's neurons, clustered by rows of the grid; one neuron is noise.
-
-    Features are the first eight components, as the SQL reads, or all of them.
-    """
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    """The codebook's neurons, clustered by rows of the grid; one neuron is noise."""
     label = F.when(F.col("neuron_id") == 7, -1).otherwise(F.expr("cast(row div 2 as int)"))
-    return book(spark, d).select(F.col("neuron_id").alias("id"), "row", "col", label.alias("label"), (F.col("w") if whole else F.slice("w", 1, 8)).alias("features"))
+    return book(spark, d).select(F.col("neuron_id").alias("id"), "row", "col", label.alias("label"), F.col("w").alias("features"))
 
 
-SQL_P = f"WITH {sql_cb()}, p AS (SELECT nid AS id, r, c, (r // 2)::INTEGER AS label, w[1:8] AS f FROM cb WHERE nid <> 7)"
-SQL_CENTER = "m AS (SELECT label, i, avg(f[i]) AS v, count(*) AS n FROM p, unnest(range(1, 9)) AS s(i) GROUP BY label, i), ce AS (SELECT label, list(v ORDER BY i) AS f, max(n) AS n FROM m GROUP BY label)"
+SQL_P = f"WITH {sql_cb()}, p AS (SELECT nid AS id, r, c, (r // 2)::INTEGER AS label, w AS f FROM cb WHERE nid <> 7)"
+SQL_CENTER = "m AS (SELECT label, i, avg(f[i]) AS v, count(*) AS n FROM p, unnest(range(1, len(f) + 1)) AS s(i) GROUP BY label, i), ce AS (SELECT label, list(v ORDER BY i) AS f, max(n) AS n FROM m GROUP BY label)"
 
 
 @query(
@@ -589,7 +613,7 @@ def davies_bouldin(spark, d):
 
 @query(
     "calinski_harabasz",
-    f"""{SQL_P}, {SQL_CENTER}, al AS (SELECT list(v ORDER BY i) AS f FROM (SELECT i, avg(f[i]) AS v FROM p, unnest(range(1, 9)) AS s(i) GROUP BY i)),
+    f"""{SQL_P}, {SQL_CENTER}, al AS (SELECT list(v ORDER BY i) AS f FROM (SELECT i, avg(f[i]) AS v FROM p, unnest(range(1, len(f) + 1)) AS s(i) GROUP BY i)),
 b AS (SELECT sum(n * list_distance(ce.f, al.f) ** 2) AS b, count(*) AS k FROM ce, al), w AS (SELECT sum(list_distance(p.f, ce.f) ** 2) AS w, count(*) AS n FROM p JOIN ce USING (label))
 SELECT round((b / (k - 1)) / (w / (n - k)), 6) AS calinski_harabasz FROM b, w""",
 )
@@ -614,23 +638,11 @@ def cluster_counts(spark, d):
     return scores.cluster_counts(labelled(spark, d)).withColumn("noise_ratio", r6("noise_ratio"))
 
 
-@query("cluster_centers", f"{SQL_P}, {SQL_CENTER} SELECT label, n, (i - 1)::INTEGER AS feature, round(ce.f[i], 6) AS value FROM ce, unnest(range(1, 9)) AS s(i)")
+@query("cluster_centers", f"{SQL_P}, {SQL_CENTER} SELECT label, n, (i - 1)::INTEGER AS feature, round(ce.f[i], 6) AS value FROM ce, unnest(range(1, len(ce.f) + 1)) AS s(i)")
 def cluster_centers(spark, d):
     return scores.centers(labelled(spark, d)).select("label", "n", F.posexplode("center").alias("feature", "value")).withColumn("value", r6("value"))
 
 
-for _score in ("silhouette", "davies_bouldin", "calinski_harabasz"):
-
-    @query(f"{_score}_whole")
-    def _whole(spark, d, name=_score):
-        return getattr(scores, name)(labelled(spark, d, whole=True)).select(r6(name).alias(name))
-
-
-@query("cluster_centers_whole")
-def cluster_centers_whole(spark, d):
-    return scores.centers(labelled(spark, d, whole=True)).select("label", "n", F.posexplode("center").alias("feature", "value")).withColumn("value", r6("value"))
-
-
 def clustered(spark: SparkSession, d: str, method: str, k: int | None = None, x: int = 8, y: int = 6, **options) -> DataFrame:
     weights = codebook_array(book(spark, d, x, y))
     return clustering.cluster(spark, weights, method, k, **options).table(spark, y)
@@ -652,6 +664,22 @@ def cluster_gmm_large(spark, d):
     return clustered(spark, d, "gmm", 2, x=20, y=20)
 
 
+@query("bic_k")
+def bic_k(spark, d):
+    """BIC and AIC of mixtures of 1 to 4 components, and which has the lowest BIC."""
+    weights = codebook_array(book(spark, d, 20, 20))
+    found = [(k, *(float(clustering.gmm(spark, weights, k).extra[c]) for c in ("bic", "aic"))) for k in range(1, 5)]
+    best = min(found, key=lambda r: r[1])[0]
+    return spark.createDataFrame([(k, round(b, 6), round(a, 6), k == best) for k, b, a in found], "k int, bic double, aic double, is_best boolean")
+
+
+@query("silhouette_samples", f"""{SQL_P}, d AS (SELECT a.id, a.label, b.label AS ol, avg(list_distance(a.f, b.f)) AS d FROM p a JOIN p b ON a.id <> b.id GROUP BY 1, 2, 3),
+s AS (SELECT id, any_value(label) AS label, max(CASE WHEN ol = label THEN d END) AS a, min(CASE WHEN ol <> label THEN d END) AS b FROM d GROUP BY id)
+SELECT id, label, round(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS s FROM s""")
+def silhouette_samples(spark, d):
+    return scores.silhouette_samples(labelled(spark, d)).select("id", "label", r6("s").alias("s"))
+
+
 @query("cluster_hdbscan")
 def cluster_hdbscan(spark, d):
     return clustered(spark, d, "hdbscan", min_cluster_size=3)

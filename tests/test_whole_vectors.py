@@ -15,7 +15,7 @@ def vectors(duck):
 
 
 def test_moments(spark, vectors):
-    for name, value, want in (("column_covariance_whole", "cov", np.cov(vectors.T)), ("gram_matrix_whole", "gram", vectors.T @ vectors)):
+    for name, value, want in (("column_covariance", "cov", np.cov(vectors.T)), ("gram_matrix", "gram", vectors.T @ vectors)):
         got = {(r["i"], r["j"]): r[value] for r in QUERIES[name](spark, SF).collect()}
         assert len(got) == 64 * 64
         assert np.allclose([[got[i, j] for j in range(64)] for i in range(64)], want, atol=1e-6)
@@ -35,8 +35,8 @@ def test_scores_and_centres(spark, vectors):
     between = sum((label == k).sum() * ((centre[k] - x.mean(axis=0)) ** 2).sum() for k in kinds)
     ch = between / (len(kinds) - 1) / ((own**2).sum() / (24 - len(kinds)))
     for name, want in (("silhouette", ((b - a) / np.maximum(a, b)).mean()), ("davies_bouldin", db), ("calinski_harabasz", ch)):
-        assert QUERIES[f"{name}_whole"](spark, SF).first()[name] == pytest.approx(want, abs=1e-5), name
-    got = {(r["label"], r["feature"]): r["value"] for r in QUERIES["cluster_centers_whole"](spark, SF).collect()}
+        assert QUERIES[name](spark, SF).first()[name] == pytest.approx(want, abs=1e-5), name
+    got = {(r["label"], r["feature"]): r["value"] for r in QUERIES["cluster_centers"](spark, SF).collect()}
     assert len(got) == 3 * 64
     assert np.allclose([[got[k, j] for j in range(64)] for k in kinds], centre, atol=1e-6)
 
