@@ -1,16 +1,19 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Compilation reads a model file's pieces and normaliser settings and builds one transducer: the
-normaliser maps a text to its escaped form, a trie of pieces is the arc set (weight: the negated
-score), and a character that no piece covers takes a byte-fallback arc.  Encoding composes the
-transducer with an input and takes the tropical-semiring shortest path (a forward pass over the
-input's states; ties go to the longer last piece).  No piece holds a word mark after another
-character, which compilation verifies, so every path passes the state before each run of marks:
+Compilation reads a model file's pieces and normaliser settings and builds the transducer: the
+normaliser (the model's character map, see ``charmap``, then its rules for spaces) maps a text to its
+escaped form, a trie of pieces is the arc set (weight: the negated score), and a character that no
+piece covers takes a byte-fallback arc, or the unknown piece where the model has no bytes.  Encoding
+composes the transducer with an input and takes the tropical-semiring shortest path (a forward pass
+over the input's states; ties go to the longer last piece).  Where no piece holds a word mark after
+another character, which compilation verifies, every path passes the state before each run of marks:
 the composition splits there, and the shortest paths of equal words are shared through a bounded
 table.  Decoding is the inverse projection: pieces to text, byte pieces to UTF-8, marks to spaces.
 
-Null and empty texts have no pieces.  The mark U+2581 in a text counts as a space, as the model
-defines it; apart from that, decoding gives back the normalised text exactly.
+Null and empty texts have no pieces; repeated rows get the same; a very long text is a block of its own;
+an empty table gives no rows.  The mark U+2581 in a text counts as a space, as the model defines it;
+apart from that, decoding gives back the normalised text exactly (``lossless`` is false only where a
+model without bytes meets a character that it does not know).
 """
 
 from __future__ import annotations
@@ -25,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from gridloom.llm import common as C
+from gridloom.llm.charmap import CharacterMap
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)  # piece types of the file format
 MEMO_BITS = 20  # of the table of words whose paths are known
 WIDTH, BATCH = 32, 10_000  # characters of a word, and words, that are solved together
+UNKNOWN_TEXT = " \u2047 ".encode()  # how the unknown piece is spelt
 RESULT = T.StructType([T.StructField("n_pieces", T.IntegerType()), T.StructField("n_bytes", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("lossless", T.BooleanType())])
 
 
@@ -80,8 +85,12 @@ class PieceTransducer:
                 own = dict(fields(value))
                 charsmap = own.get(2, b"")
                 self.prefix, self.trim, self.escape = (bool(own.get(k, 1)) for k in (3, 4, 5))
-        if charsmap or not fallback or not self.escape:
-            raise ValueError("the model must have the identity character map, byte fallback and escaped spaces")
+        if not self.escape:
+            raise ValueError("the model must escape spaces")
+        self.charmap, self.fallback = CharacterMap(charsmap), fallback
+        self.unk = self.kinds.index(UNKNOWN) if UNKNOWN in self.kinds else -1
+        if not fallback and self.unk < 0:
+            raise ValueError("the model has neither bytes nor an unknown piece")
         normal = [s for s, k in zip(scores, self.kinds, strict=True) if k == NORMAL]
         low, high = min(normal, default=0.0), max(normal, default=0.0)
         self.unknown = 10.0 - low
@@ -97,10 +106,10 @@ class PieceTransducer:
                 for c in piece:
                     node = node.setdefault(c, {})
                 node[""] = (i, high * len(piece) * -1 + 0.1 if kind == USER_DEFINED else -scores[i])
-        for c in map(chr, range(128)):  # byte fallback of one byte is an arc like any other
+        for c in map(chr, range(128)) if fallback else ():  # byte fallback of one byte is an arc like any other
             if "" not in self.trie.setdefault(c, {}):
                 self.trie[c][""] = (self.bytes[ord(c)], self.unknown)
-        self.out = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else p.replace(MARK, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
+        self.out = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else UNKNOWN_TEXT if k == UNKNOWN else p.replace(MARK, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.pairs = {p[i : i + 2] for p, k in zip(self.pieces, self.kinds, strict=True) if k in (NORMAL, USER_DEFINED) for i in range(len(p) - 1)}
         self._tables()
         self.table = C.WordMemo(MEMO_BITS)
@@ -110,7 +119,7 @@ class PieceTransducer:
 
     def normalise(self, text: str) -> str:
         """The input side of the transducer, before spaces become marks."""
-        text = text.replace(MARK, " ")
+        text = self.charmap(text).replace(MARK, " ")
         if self.trim:
             text = " ".join(x for x in text.split(" ") if x)
         return text
@@ -142,8 +151,10 @@ class PieceTransducer:
             i, piece = came[n]
             if piece >= 0:
                 ids.append(piece)
-            else:
+            elif self.fallback:
                 ids += [self.bytes[b] for b in reversed(text[i:n].encode("utf-8", "surrogatepass"))]
+            elif not ids or ids[-1] != self.unk:  # a run of unknown characters is one piece
+                ids.append(self.unk)
             n = i
         return ids[::-1], best[-1]
 
@@ -224,7 +235,7 @@ class PieceTransducer:
         pairs, ends, stems = self.pairs, [], {}
         for w in words:
             end = len(w)
-            while end > 1 and w[end - 2 : end] not in pairs:
+            while self.fallback and end > 1 and w[end - 2 : end] not in pairs:
                 end -= 1
             ends.append(end)
             stems[w[:end]] = None
@@ -253,6 +264,8 @@ class PieceTransducer:
             odd = C.uneven_spaces(buf, offs) if self.prefix else np.ones(end - start, bool)
             lead = np.flatnonzero(buf[:-2] == 0xE2) if len(buf) > 2 else np.zeros(0, np.int64)
             odd |= C.rows_with(buf, offs, lead[(buf[lead + 1] == 0x96) & (buf[lead + 2] == 0x81)])
+            if self.charmap.rules:
+                odd |= np.array([self.charmap.touches(buf[x:y].tobytes().decode()) for x, y in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], bool)
             ids, at = C.tokens_of(buf, offs, self.table, self.solve, False)
             out, where = self.spelling.spell(ids)
             where = where[at]
