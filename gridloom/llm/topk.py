@@ -34,6 +34,7 @@ SCALE = 256
 BLOCK_DIMS = 8
 TILE = 16
 LEAD = 256  # candidates that are finished before others are bounded
+PROBE = 64  # candidates that tell whether bounding all is worth it
 ALONE = 0.5  # share of a tile's candidates at which its queries part
 BLOCK_ROWS = 4096
 PASS_BYTES = 32 << 20
@@ -125,41 +126,48 @@ def search_block(best: Best, q: np.ndarray, ids: np.ndarray, x: np.ndarray, bloc
     norm = np.sqrt((x * x).sum(axis=1)) * (1 + 1e-9)
     order = np.argsort(-norm, kind="stable")
     ids, norm = ids[order], norm[order]
+    mass = np.argsort(-((x * x).sum(axis=0) * (q * q).sum(axis=0)), kind="stable")
+    columns = np.ascontiguousarray(x[order][:, mass].T)
+    rest, lead = rest_norms(columns.T, block), min(n, LEAD)
     for tile in np.array_split(alike(q), -(-len(q) // TILE)) if len(q) else ():
-        mass = np.argsort(-((x * x).sum(axis=0) * (q[tile] ** 2).sum(axis=0)), kind="stable")
-        own, columns = q[tile][:, mass], np.ascontiguousarray(x[order][:, mass].T)
-        rest, q_rest = rest_norms(columns.T, block), rest_norms(own, block)
-        size = np.sqrt((own * own).sum(axis=1)) * (1 + 1e-9)
-        lead = min(n, LEAD)
+        own = q[tile][:, mass]
+        q_rest, size = rest_norms(own, block), np.sqrt((own * own).sum(axis=1)) * (1 + 1e-9)
         best.work += len(tile) * lead * dim
         for row, whole in zip(tile.tolist(), (own @ columns[:, :lead]).astype(np.int64), strict=True):
             best.merge(row, ids[:lead], whole)
         floor = best.floor(tile)
         end = int(np.searchsorted(-norm, -np.min(floor / np.maximum(size, 1e-300)), "right")) if (floor > 0).all() else n
         live = np.arange(lead, max(lead, end))  # beyond, even the whole norms fall short
+        left, rests = columns[:, lead : max(lead, end)], rest[:, lead : max(lead, end)]  # of the live ones
         sums, i, b = np.zeros((len(tile), len(live))), 0, 0
+        may = np.ones(sums.shape, bool)
         while i < dim and len(live):
-            sums += own[:, i : i + block] @ columns[i : i + block, live]
+            sums += own[:, i : i + block] @ left[i : i + block]
             best.work += len(tile) * len(live) * min(block, dim - i)
-            may = sums + (q_rest[b][:, None] * rest[b, live] + 1) >= floor[:, None]
             i, b = i + block, b + 1
+            bound = lambda x, r, b=b: x + (q_rest[b - 1][:, None] * r + 1) >= floor[:, None]
+            step = max(1, len(live) // PROBE)
+            if i < dim and bound(sums[:, ::step], rests[b - 1, ::step]).mean() > 0.9:
+                continue  # a glance at some says that it is too early
+            may = bound(sums, rests[b - 1])
             some = may.any(axis=0)
             if some.mean() < 0.7:
-                live, sums, may = live[some], sums[:, some], may[:, some]
+                live, sums, may, left, rests = live[some], sums[:, some], may[:, some], left[:, some], rests[:, some]
             if i < dim and may.size and may.mean() < ALONE:
                 break
         if not len(live):
             continue
         for r, row in enumerate(tile.tolist()):  # each query with its own survivors
-            left, total, at, c = live[may[r]], sums[r, may[r]], i, b
-            while at < dim and len(left):
-                total = total + own[r, at : at + block] @ columns[at : at + block, left]
-                best.work += len(left) * min(block, dim - at)
-                keep = total + (q_rest[c, r] * rest[c, left] + 1) >= floor[r]
-                left, total = left[keep], total[keep]
+            at, c, kept = i, b, np.flatnonzero(may[r])
+            total, mine = sums[r, kept], live[kept]
+            while at < dim and len(mine):
+                total = total + own[r, at : at + block] @ columns[at : at + block, mine]
+                best.work += len(mine) * min(block, dim - at)
+                keep = total + (q_rest[c, r] * rest[c, mine] + 1) >= floor[r]
+                mine, total = mine[keep], total[keep]
                 at, c = at + block, c + 1
-            if len(left):
-                best.merge(row, ids[left], total.astype(np.int64))
+            if len(mine):
+                best.merge(row, ids[mine], total.astype(np.int64))
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE, pass_bytes: int = PASS_BYTES) -> DataFrame:
