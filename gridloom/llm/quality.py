@@ -50,6 +50,23 @@ def _byte_classes() -> np.ndarray:
 CLASSES = _byte_classes()
 
 
+FIELD = 21  # bits of a count where three are added up as one number
+PACKED = np.array([sum(CLASSES[3 * g + k].astype(np.int64) << FIELD * k for k in range(3)) for g in range(2)])
+
+
+def class_counts(buf: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+    """How many bytes of each class each row has."""
+    if len(buf) >= 1 << FIELD:  # one long text
+        sums = [np.concatenate(([0], np.cumsum(own[buf], dtype=np.int64))) for own in CLASSES]
+        return [s[offs[1:]] - s[offs[:-1]] for s in sums]
+    out = []
+    for three in PACKED:
+        total = np.concatenate(([0], np.cumsum(three[buf])))
+        own = total[offs[1:]] - total[offs[:-1]]
+        out += [own >> FIELD * k & (1 << FIELD) - 1 for k in range(3)]
+    return out
+
+
 def features(buf: np.ndarray, offs: np.ndarray, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row and bucket of each distinct word (of the ``used`` buckets), and statistics by row."""
     words = C.Words(buf, offs, OWN)
@@ -63,10 +80,7 @@ def features(buf: np.ndarray, offs: np.ndarray, used: np.ndarray | None = None)
     most, kinds = np.zeros(len(offs) - 1, np.int64), np.bincount(at, minlength=len(offs) - 1)
     np.maximum.at(most, at, times)
     n, size = np.maximum(words.counts, 1), np.maximum(np.diff(offs), 1)
-    share = []
-    for own in CLASSES:
-        total = np.concatenate(([0], np.cumsum(own[buf], dtype=np.int64)))
-        share.append((total[offs[1:]] - total[offs[:-1]]) / size)
+    share = [c / size for c in class_counts(buf, offs)]
     stats = np.stack([*share, by_row(again) / n, kinds / n * np.log1p(n) / 7, most / n], axis=1)
     if used is not None:
         kept = used[kind]

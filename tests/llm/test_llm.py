@@ -611,6 +611,14 @@ def test_fit_is_at_the_least_loss():
     assert np.abs((x.T @ error + 3e-4 * model.weights[: 1 << 6])[model.weights[: 1 << 6] != 0]).max() < 2e-3
 
 
+def test_class_counts_of_short_and_long_texts():
+    rng = np.random.default_rng(1)
+    buf = rng.integers(0, 256, (1 << 21) + 50, dtype=np.uint8)
+    for own, offs in ((buf[:5000], np.array([0, 0, 7, 4000, 5000])), (buf, np.array([0, len(buf)]))):
+        want = [[int(c[own[a:b]].sum()) for a, b in zip(offs[:-1], offs[1:])] for c in quality.CLASSES]
+        assert [x.tolist() for x in quality.class_counts(own, offs)] == want
+
+
 def test_sites_of_urls(spark):
     urls = ["https://WWW.Example.org/blog/a?x=1", "http://example.org", "https://u:p@sub.example.org:81//x", "no url", None, ""]
     host, path = quality.site_of(F.col("url"))
