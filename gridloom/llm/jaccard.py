@@ -573,13 +573,19 @@ def jaccard_groups(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = D
     """``doc_id``, ``n_shingles`` and ``component_id`` for each row of ``docs`` (``doc_id``, ``text``)."""
     placed = placed_rows(docs, k, num, den)
     named = placed.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
-    named = C.materialise(named)
-    large = max(LARGE, placed.count() // (LARGE * 64))  # at most LARGE * 64 components are larger
-    hot = F.broadcast(named.filter(F.col("copies") > large).select("c", F.col("least_id").alias("hot_id"), F.lit(True).alias("hot")))
-    marked = placed.join(hot, "c", "left")  # no component, however large, meets in one task
-    rest = marked.filter("hot is null and c is not null").drop("hot_id").join(named.filter(F.col("copies") <= large).select("c", F.col("least_id").alias("hot_id")), "c")
-    done = marked.filter("hot or c is null").unionByName(rest)
-    return done.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("hot_id")).alias("component_id"))
+    found = with_components(placed.filter("c is not null"), named, placed.count()).unionByName(placed.filter("c is null").withColumn("least_id", F.col("doc_id")))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("least_id").alias("component_id"))
+
+
+def with_components(rows: DataFrame, facts: DataFrame, total: int) -> DataFrame:
+    """Each row with the facts of its component ``c`` (one row each, with ``copies``, its size).  Facts of
+    large components are broadcast, at most ``LARGE * 64`` of them, so no component meets in one task."""
+    facts, large = C.materialise(facts), max(LARGE, total // (LARGE * 64))
+    hot = facts.filter(F.col("copies") > large).drop("copies")
+    cold = facts.filter(F.col("copies") <= large).drop("copies")
+    marked = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), "c", "left")
+    done = marked.filter("__hot").drop("__hot")
+    return done.unionByName(marked.filter("__hot is null").select(*rows.columns).join(cold, "c"))
 
 
 def one_of_each(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -588,10 +594,11 @@ def one_of_each(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN)
     stays only where its whole group has none.  Rows without words all stay."""
     placed = placed_rows(docs, k, num, den).filter("c is not null")
     name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
-    each = placed.groupBy("c", name.alias("r")).agg(F.count("*").alias("copies"))
-    first = each.groupBy("c").agg(F.min("r").alias("first"))
-    each = C.materialise(each.join(first, "c").select("r.__id", "r.__key", (F.col("r") == F.col("first")).alias("stays"), "copies"))
-    gone, twice = each.filter("not stays").select("__id", "__key"), each.filter("stays and copies > 1").select("__id", "__key")
+    each = C.materialise(placed.groupBy("c", name.alias("r")).agg(F.count("*").alias("times")))
+    first = each.groupBy("c").agg(F.min("r").alias("first"), F.count("*").alias("copies"))
+    each = with_components(each, first, each.count())
+    each = C.materialise(each.select("r.__id", "r.__key", F.col("r").eqNullSafe(F.col("first")).alias("stays"), "times"))
+    gone, twice = each.filter("not stays").select("__id", "__key"), each.filter("stays and times > 1").select("__id", "__key")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
     is_row = lambda other: docs["doc_id"].cast("long").eqNullSafe(other["__id"]) & (F.xxhash64(docs["text"]) == other["__key"])
