@@ -460,14 +460,14 @@ def components(edges: DataFrame) -> DataFrame:
         now = C.materialise(pick(small))
 
 
-def with_facts(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
-    """Each row with the facts of its ``key``, where there are any (one row of facts for each key).  Facts
+def with_facts(rows: DataFrame, facts: DataFrame, *keys: str) -> DataFrame:
+    """Each row with the facts of its ``keys``, where there are any (one row of facts for each).  Facts
     are broadcast if a count shows that they are few, else copied ``SALTS`` times: no key is one task's."""
     facts = C.materialise(facts)
     if facts.count() <= BROADCAST_IDS:
-        return rows.join(F.broadcast(facts), key)
+        return rows.join(F.broadcast(facts), list(keys))
     salted = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"]).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"]).drop("salt")
 
 
 def open_groups(groups: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
@@ -536,6 +536,9 @@ def pairs_of_differences(diff: DataFrame, num: int, den: int) -> DataFrame:
     first = F.slice("ts", 1, F.greatest(F.col("m") - least + 1 - F.col("lead"), F.lit(0)).cast("int"))
     posted = known.select("ref", "d", "c", "g", "limit", "m", "far", "s", "lead", F.posexplode(first).alias("at", "x"))
     posted = C.materialise(posted.select("ref", F.col("x.t").alias("t"), "d", "c", "g", "limit", "m", "far", "s", (F.col("lead") + F.col("at")).alias("at")))
+    # a shingle whose members are all in one component, such as that of a family of near copies, has no pairs
+    several = posted.groupBy("ref", "t").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("far").alias("any"))
+    posted = C.materialise(with_facts(posted, several.filter("c0 <> c1 and any").select("ref", "t"), "ref", "t"))
     p, q = posted.filter("far").alias("p"), posted.alias("q")
     most = F.least("p.s", "q.s", F.least("p.at", "q.at") + F.least(F.col("p.m") - F.col("p.at"), F.col("q.m") - F.col("q.at")))
     may = (F.col("p.c") != F.col("q.c")) & (~F.col("q.far") | (F.col("p.d") < F.col("q.d"))) & (most * (num + den) >= F.col("p.g") + F.col("q.g") - F.col("p.limit"))
