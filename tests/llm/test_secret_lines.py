@@ -9,6 +9,8 @@ import zlib
 
 import pytest
 
+import corpus_pipeline
+from conftest import SF
 from gridloom.llm import secrets
 
 SECRET = "password=correcthorsebattery"
@@ -157,3 +159,21 @@ def test_binary_data_over_many_lines_ends():
     began = time.perf_counter()
     secrets.find(text)
     assert time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize("n", [14, 60])
+def test_pipeline_masks_lines_of_odd_widths(spark, n):
+    """The stage leaves nothing of a secret that stands in base64 among many other lines."""
+    rng, texts, tokens = random.Random(n), [], []
+    for pack in (str.encode, lambda x: gzip.compress(x.encode(), mtime=0), lambda x: zlib.compress(x.encode())):
+        own = cut(b64(pack(f"{PROSE[:90]} {SECRET} {PROSE}")).rstrip("="), rng, [8, 12, 20, 41])
+        around = ["".join(rng.choices("bcdfgklmnprst", k=rng.choice([3, 7, 9]))) for _ in range(2 * n)]
+        tokens.append("\n".join(own))
+        texts.append("\n".join(["A list of words:", *around[:n], *own, *around[n:], "That is all."]))
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    rows = {r["doc_id"]: r for r in corpus_pipeline.secret_masking(spark, docs, SF).collect()}
+    for i, (text, token) in enumerate(zip(texts, tokens, strict=True)):
+        new = rows[i]["text"]
+        first = text.index(token)
+        assert "<assign>" in new and token.split("\n")[0] not in new and rows[i]["n_chars"] == len(new), new
+        assert new.startswith(text[: first - 60]) and new.endswith("That is all.")
