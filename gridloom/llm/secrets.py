@@ -12,8 +12,9 @@ whole, between ``/``, ``-`` and ``_``.  Decoded layers add spans; base spans sta
 Escapes are decoded layer by layer to a depth of ``STEPS``; whatever is nested deeper is decoded to its
 end in one pass with a stack, so the time is linear in the text.  Layers keep their way back as
 composed arrays of edges.  Inflated data up to ``WHOLE`` bytes is a layer; more of it is read as a stream
-of bounded windows, whose findings map to the token they are in (a base64 run of over ``LONG_RUN``
-characters inside such a stream is read in pieces).
+and cut where nothing that could be found can go across, so its parts hold what the whole holds (see
+``safe_cut`` and ``line_cut``).  A part is as long as the text goes on without such a place; a base64 run that stands
+alone in it is kept compressed and read as a stream of its own.  Findings map to the token they are in.
 
 Null texts count as empty, an empty table gives no rows.  Each row is scanned by itself, so order, ties
 and repeats do not matter; columns other than the text pass through.
@@ -30,6 +31,7 @@ import zlib
 from bisect import bisect_right
 from collections import deque
 from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import accumulate
 
 import numpy as np
@@ -51,14 +53,22 @@ ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f
 LEAST = 16  # characters of a base64 token
 STEPS = 3  # layers of escapes that are decoded one by one
 PIECE, WHOLE = 1 << 20, 4 << 20  # bytes of inflated data at once, and in a layer
-CARRY, LONG_RUN = 1 << 16, 1 << 24  # characters of a window that the next one begins with
-FLOOD_LEVELS = 64  # compressed layers, each of more than WHOLE bytes, inside each other
-LAST_RUN = re.compile(r"[A-Za-z0-9+/_=%\\&#;.-]*\Z")
+CHUNK = 1 << 16  # bytes that go from one compressed layer of a stream to the next
+LEVELS = 64  # compressed layers inside each other after which a stream is looked at for one that holds itself
 BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}")
 #: Runs parted by line ends only, from the first run's start on.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 RUN = re.compile(r"[A-Za-z0-9+/_-]+")
 EDGE = re.compile(r"[/_-]")
+RUN_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+#: What no escape, no compressed data in escapes and no base pattern goes across.
+HARD = re.compile(r"[^\x20-\x7E]")
+#: Escapes, and what compressed data in escapes can begin with, which may go on to the next ``HARD`` character.
+CODED = re.compile(r"%[0-9A-Fa-f]{2}|\\[xuU][0-9A-Fa-f]|&#[0-9xX]|x\^")
+#: Where nothing goes across unless something is ``CODED`` before it: marks, and spaces but next to ``:`` or ``=``.
+GAP = re.compile(r"[!$()*,<>?@\[\]`{|}~]|(?<=[!-9;<>-~])\x20+(?=[!-$'-\[\]-~])")
+KEY_END = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\Z""", re.I | re.A)
+SPACES = re.compile(r"\x20{3,}")
 FEW = 64  # beginnings that are looked at one by one before whole arrays are
 #: Compressed data in escapes: its first two bytes, and what its bytes can be spelt as.
 PERCENT_DATA = (re.compile(r"(?:%1[Ff]%8[Bb]|(?:x|%78)%(?:01|5[Ee]|9[Cc]|[Dd][Aa]))"), re.compile(r"%([0-9A-Fa-f]{2})|([A-Za-z0-9_.~!*'()/+:@$,;-])"))
@@ -326,7 +336,7 @@ def plain(data: bytes) -> str | Flood | None:
     seen: set[bytes] = set()
     while (inner := unpacked(data)) is not None:
         if inner[0] is None:
-            return flood(data)
+            return flood(partial(chunks, data))
         key = hashlib.sha1(data).digest()
         if key in seen:
             return None
@@ -335,62 +345,332 @@ def plain(data: bytes) -> str | Flood | None:
     return readable(data)
 
 
-def inner_pieces(source: Iterator[bytes], levels: int = FLOOD_LEVELS) -> Iterator[bytes]:
-    """Pieces of what is in a stream of pieces, through compressed layers in between."""
-    head = b""
-    for piece in source:
-        head += piece
-        if len(head) > 2:
-            break
-    if not compressed(head):
-        yield head
-        yield from source
-        return
-    if not levels:
-        raise zlib.error("it holds itself")
+class NotPacked(zlib.error):
+    """The data of a level only begins like compressed data."""
 
-    def inflated() -> Iterator[bytes]:
-        machine, left = zlib.decompressobj(47), head
-        while True:
-            while left:
-                if machine.eof:
-                    while len(left) < 2 and (more := next(source, b"")):
-                        left += more
-                    if left[:2] != b"\x1f\x8b":
-                        return
-                    machine = zlib.decompressobj(47)
-                piece = machine.decompress(left, PIECE)
-                left = machine.unconsumed_tail or machine.unused_data
-                if piece:
-                    yield piece
-            left = next(source, b"")
-            if not left:
-                return
+    def __init__(self, level: int):
+        super().__init__(level)
+        self.level = level
 
-    yield from inner_pieces(inflated(), levels - 1)
 
+class Deep(zlib.error):
+    """There are more levels than asked for."""
 
-def flood(data: bytes) -> Flood | None:
-    """The kinds in compressed text of any length, or None if it is no text."""
-    kinds: set[int] = set()
-    decoder, total, controls, carry = codecs.getincrementaldecoder("utf-8")(), 0, 0, ""
-    try:
-        for piece in inner_pieces(iter([data])):
-            if len(piece) > 4096 and piece == piece[:1] * len(piece):  # one character again and again
-                controls += len(piece) - 64 if CONTROLS.match(chr(piece[0])) else 0
-                total += len(piece) - 64
-                piece = piece[:64]
-            text = decoder.decode(piece)
-            total += len(text)
-            controls += len(CONTROLS.findall(text))
-            window = carry + re.sub(" {2,}", " ", text)
-            kinds.update(k for _, k, _ in find(window)[1])
-            run = LAST_RUN.search(window, max(0, len(window) - LONG_RUN))
-            carry = window[min(run.start(), max(0, len(window) - CARRY)) :]
-        decoder.decode(b"", final=True)
-    except (zlib.error, UnicodeDecodeError):
+
+def chunks(data: bytes) -> Iterator[bytes]:
+    return (data[x : x + CHUNK] for x in range(0, len(data), CHUNK))
+
+
+def deepest(source: Iterator[bytes], limit: int | None = None, bound: int = LEVELS, hashes: list | None = None) -> Iterator[bytes]:
+    """Pieces of what is in a stream of pieces, through all compressed layers in between.
+
+    The data of level ``limit`` is what is asked for even if it begins like compressed data.  ``hashes`` gets
+    the hash of each level's data, which is then read to its end.
+    """
+    heads, machines, members, over = [b""], [None], [0], [False]
+    last, work = None, []
+    if hashes is not None:
+        hashes.append(hashlib.sha1())
+    for chunk in source:
+        work.append((0, chunk))
+        if hashes is not None:
+            hashes[0].update(chunk)
+        while work:
+            k, data = work.pop()
+            if over[k]:
+                continue
+            if k == last:
+                yield data
+                continue
+            if (machine := machines[k]) is None:  # a member begins
+                data = heads[k] + data
+                if len(data) < 3:
+                    heads[k] = data
+                    continue
+                heads[k] = b""
+                if not members[k]:
+                    if k == limit or not compressed(data):
+                        last = k
+                        yield data
+                        continue
+                    if k == bound:
+                        raise Deep
+                    for own, value in ((heads, b""), (machines, None), (members, 0), (over, False)):
+                        own.append(value)
+                    if hashes is not None:
+                        hashes.append(hashlib.sha1())
+                elif data[:2] != b"\x1f\x8b":
+                    over[k] = True
+                if not over[k]:
+                    machine = machines[k] = zlib.decompressobj(47)
+            if not over[k]:
+                try:
+                    piece = machine.decompress(data, CHUNK)
+                except zlib.error:
+                    if not members[k]:
+                        raise NotPacked(k) from None
+                    over[k] = True
+            if over[k]:
+                if hashes is None:
+                    return
+                continue
+            left = machine.unused_data if machine.eof else machine.unconsumed_tail
+            if machine.eof:
+                machines[k] = None
+                members[k] += 1
+            if left or piece and not machine.eof:
+                work.append((k, left))
+            if piece:
+                work.append((k + 1, piece))
+                if hashes is not None:
+                    hashes[k + 1].update(piece)
+    if last is None and heads[-1] and not members[-1]:
+        yield heads[-1]
+
+
+def holds_itself(source: Iterator[bytes], bound: int) -> bool:
+    """Whether one of the first levels of compressed data is another one again, so that they never end."""
+    hashes: list = []
+    for _ in deepest(source, bound, bound, hashes):
+        pass
+    return len({h.digest() for h in hashes}) < len(hashes)
+
+
+def flood(source: Callable[[], Iterator[bytes]]) -> Flood | None:
+    """The kinds in text of any length, through any compressed layers in between, or None if it is no text.
+    ``source`` gives the pieces anew with each call."""
+    limit, bound = None, LEVELS
+    while True:
+        try:
+            try:
+                return kinds_in(deepest(source(), limit, bound))
+            except Deep:
+                if holds_itself(source(), bound):
+                    return None
+                bound *= 2
+        except NotPacked as e:
+            limit = e.level
+        except UnicodeDecodeError:
+            return None
+
+
+def control_count(text: str) -> int:
+    return len(text) - len(text.encode().translate(None, ASCII_CONTROLS)) if text.isascii() else len(CONTROLS.findall(text))
+
+
+def gap_cut(window: str, start: int, end: int) -> int:
+    """The last ``GAP`` of a stretch without ``HARD`` characters that nothing goes across, or 0."""
+    if (m := CODED.search(window, start, end)) is not None:
+        end = m.start()
+    right, step = end, 1 << 12
+    while right > start:
+        left = max(start, right - step)
+        for m in reversed(list(GAP.finditer(window, left, right))):
+            if not (m[0][0] == " " and KEY_END.search(window, max(0, m.start() - 10), m.start())):
+                return m.start()
+        right, step = left, 2 * step
+    return 0
+
+
+def safe_cut(window: str) -> int:
+    """The last place that nothing goes across which could be found in the text or any layer of it, or 0.
+
+    Only base64 goes over line ends, and only from a line's last character to the next one's first; only
+    compressed data in escapes and an assignment go across other marks and spaces.  Escapes are looked
+    for wherever they could decode to what goes on.
+    """
+    if not window:
+        return 0
+    if HARD.match(window[-1]) and window[-1] not in "\t\r\n":
+        return len(window)
+    right, low, step = len(window), len(window), 1 << 14
+    while low:
+        high, low = low, max(0, low - step)
+        step *= 2
+        for m in reversed(list(HARD.finditer(window, low, high))):
+            at = m.start()
+            if cut := gap_cut(window, at + 1, right):
+                return cut
+            if m[0] not in "\t\r\n":
+                return at + 1
+            first, end = at, at + 1
+            while first and window[first - 1] in "\x20\t\r\n":
+                first -= 1
+            while end < len(window) and window[end] in "\x20\t\r\n":
+                end += 1
+            apart = window.count("\n", first, end) > 1 or window[first - 1] not in RUN_CHARS + ";" or end < len(window) and window[end] not in RUN_CHARS + "%\\&"
+            if first and apart:
+                return first
+            right = at
+    return gap_cut(window, 0, right)
+
+
+def inflates_until(data: bytes, start: int) -> int:
+    """Up to where compressed data that begins at ``start`` may go on, or a little more."""
+    machine = zlib.decompressobj(47)
+    for at in range(start, len(data), 256):
+        left = data[at : at + 256]
+        try:
+            while left and not machine.eof:
+                machine.decompress(left, PIECE)
+                left = machine.unconsumed_tail
+        except zlib.error:
+            return at + 256
+        if machine.eof:
+            end = min(at + 256, len(data)) - len(machine.unused_data)
+            return len(data) if end + 2 > len(data) or data[end : end + 2] == b"\x1f\x8b" else end + 2
+    return len(data)
+
+
+def line_cut(window: str) -> int:
+    """In base64 runs on lines, the last line end that no range goes across which may open, or 0.
+
+    A range is taken to go on until it is neither UTF-8 nor compressed data, and over the end if it gets there.
+    """
+    m = None
+    for m in WRAPPED.finditer(window):  # noqa: B007 (the last)
+        pass
+    if m is None or CODED.search(window, 0, m.end()):
+        return 0
+    runs = RUN.findall(m[0])
+    body, begins = "".join(runs), [0, *accumulate(map(len, runs))]
+    firsts = np.array(sorted({*begins[:-1], *(e.end() for e in EDGE.finditer(body))} - {len(body)}))
+    over = np.zeros(len(body) + 2, np.int64)  # ranges that begin or end at each place
+    for phase in range(4):
+        data = bytes_of(body[phase : len(body) - ((len(body) - phase) % 4 == 1)]) or b""
+        n = len(data)
+        inner, bad, _ = characters(data)
+        own = firsts[(firsts % 4 == phase) & (firsts >= phase)]
+        at = (own - phase) // 4 * 3
+        stop = np.append(bad, n)[np.searchsorted(bad, at)]
+        stop[stop >= n - 4] = n  # more may make a character of it
+        head = np.frombuffer(data + bytes(16), np.uint8)[at[:, None] + np.arange(2)].astype(np.int64) @ [256, 1]
+        live = ((stop == n) | (stop - at >= LEAST * 3 // 4)) & ~np.append(inner, np.zeros(16, bool))[at]
+        stop[~live] = 0
+        for k in np.flatnonzero((head == 0x1F8B) | (head >> 8 == 0x78) & (head % 31 == 0)).tolist():
+            stop[k] = max(stop[k], inflates_until(data, int(at[k])))
+        live = stop > 0
+        np.add.at(over, own[live] + 1, 1)
+        np.add.at(over, np.where(stop[live] >= n, len(body) + 1, np.minimum(phase - (-stop[live] * 4 // 3) + 4, len(body) + 1)), -1)
+    free = np.flatnonzero(np.cumsum(over)[begins[1:-1]] == 0)
+    if not len(free):
+        return 0
+    ends = [r.end() for r in RUN.finditer(m[0])]
+    return m.start() + ends[int(free[-1])]
+
+
+def lone_run(window: str) -> int | None:
+    """Where the base64 run at the window's end begins, if it is long and nothing before it goes on in it."""
+    start = len(window.rstrip(RUN_CHARS))
+    if len(window) - start < PIECE:
+        return None
+    before = window[:start]
+    own = before.rstrip("\x20\t\r")
+    word = own[max(own.rfind(c) for c in "\x20\t\n") + 1 :]
+    if before[-1:] in ("%", "\\", ";", "#", "&") or own[-1:] == "\n" or any(c in word for c in "%\\&"):
         return None
-    return Flood(kinds) if 4 * controls <= total else None
+    line = max((m.start() for m in HARD.finditer(before)), default=0)
+    return None if CODED.search(before, line) else start
+
+
+class Run:
+    """A long base64 run of its own, kept compressed."""
+
+    def __init__(self):
+        self.parts, self.size, self.tail, self.edges, self.kinds = [], 0, "", False, set()
+
+    def add(self, text: str) -> None:
+        self.parts.append(zlib.compress(text.encode(), 1))
+        self.size += len(text)
+        self.edges = self.edges or EDGE.search(text) is not None
+        near = self.tail + text
+        if 2 not in self.kinds and HEX.search(near):
+            self.kinds.add(2)
+        if 1 not in self.kinds and "AKIA" in near and ACCESS.search(near):
+            self.kinds.add(1)
+        self.tail = near[-32:]
+
+    def texts(self) -> Iterator[str]:
+        return (zlib.decompress(x).decode() for x in self.parts)
+
+    def data(self) -> Iterator[bytes]:
+        left = ""
+        for text in self.texts():
+            left += text
+            n = len(left) // 4 * 4
+            yield bytes_of(left[:n])
+            left = left[n:]
+        yield bytes_of(left)
+
+    def found(self) -> set[int]:
+        """The kinds in the run and in what it opens to, as a whole or in parts."""
+        whole = flood(self.data) if self.size % 4 != 1 else None
+        if whole is not None:
+            return self.kinds | whole.kinds
+        if self.edges:
+            for _, _, text in opened_parts("".join(self.texts())):
+                self.kinds |= text.kinds if isinstance(text, Flood) else {k for _, k, _ in find(text)[1]}
+        return self.kinds
+
+    def stand_in(self) -> str:
+        """What can take the run's place: a value, or the end of a name, that opens to nothing."""
+        return "Z" * 12 + self.tail[-8:]
+
+
+def kinds_in(pieces: Iterator[bytes]) -> Flood | None:
+    """The kinds in the text of a stream, or None if it is no text."""
+    kinds: set[int] = set()
+    decoder, total, controls = codecs.getincrementaldecoder("utf-8")(), 0, 0
+    held, size, due = [], 0, PIECE  # text since the last cut, its length, and the length to look at it again
+    run, after = None, ""  # an open run and what follows it
+
+    def look(text: str) -> None:
+        if text[:1] and HARD.match(text):
+            text = text.strip(text[0])
+        if text and len(kinds) < len(KINDS):
+            kinds.update(k for _, k, _ in find(text)[1])
+
+    def closed() -> str:
+        lone = after[:1] == "=" or after.lstrip("\x20\t\r")[:1] not in ("\n", "%", "\\", "&")
+        if lone:
+            kinds.update(run.found())
+        return (run.stand_in() if lone else "".join(run.texts())) + after
+
+    for piece in pieces:
+        text = decoder.decode(piece)
+        total += len(text)
+        controls += control_count(text)
+        if len(kinds) == len(KINDS):
+            continue
+        if run is not None:
+            if not after and (m := RUN.match(text)) is not None:
+                run.add(m[0])
+                text = text[m.end() :]
+            after += text
+            if not after.strip("\x20\t\r"):
+                continue
+            text, run, after = closed(), None, ""
+        held.append(text if size else text.lstrip(" "))
+        size += len(held[-1])
+        if size < due:
+            continue
+        window = "".join(held)
+        if "   " in window and CODED.search(window) is None:  # so nothing counts them
+            window = SPACES.sub("  ", window)
+        if cut := safe_cut(window) or line_cut(window):
+            look(window[:cut])
+            window = window[cut:].lstrip(" ")
+        if not cut and len(window) >= WHOLE and (start := lone_run(window)) is not None:
+            run = Run()
+            run.add(window[start:])
+            window = window[:start]
+        held, size = [window], len(window)
+        due = max(PIECE, 2 * size)
+    decoder.decode(b"", final=True)
+    if run is not None:
+        held.append(closed())
+    look("".join(held))
+    return Flood(kinds) if 0 < total >= 4 * controls else None
 
 
 def bytes_of(token: str) -> bytes | None:
@@ -510,7 +790,7 @@ def lasting(data: bytes, cuts: list[int]) -> list[int]:
             fed = k + 1
 
     try:
-        for piece in inner_pieces(source()):
+        for piece in deepest(source()):
             own = decoder.decode(piece)
             state[0] += len(own)
             state[1] += len(piece) - len(piece.translate(None, ASCII_CONTROLS)) if piece.isascii() else len(CONTROLS.findall(own))
